@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm.common import shared_path, table
 from harrow.llm.mixing import mix_sources
+from harrow.llm.substring_dedup import drop_repeated_spans
 from harrow.llm.topk import as_integers, top_k
 from harrow.llm.warc import read_archive, write_archive
 
@@ -68,3 +69,20 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to
 FROM d
 """
+
+
+@query
+def op9_substring_dedup(spark, sf_dir):
+    return drop_repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op9_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS g FROM p),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS owner FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM m WHERE owner < doc_id),
+k AS (SELECT d.doc_id, a.j, a.x, c.j IS NOT NULL AS gone FROM d, (SELECT doc_id AS id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d) a LEFT JOIN c ON c.doc_id = a.id AND c.j = a.j WHERE a.id = d.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(*) FILTER (WHERE k.gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(k.x, ' ' ORDER BY k.j) FILTER (WHERE NOT k.gone), '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.w
+"""
