@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harrow.llm.common import shared_path, table
+from harrow.llm.decontamination import contamination
+from harrow.llm.line_dedup import drop_repeated_chunks
 from harrow.llm.mixing import mix_sources
 from harrow.llm.substring_dedup import drop_repeated_spans
 from harrow.llm.topk import as_integers, top_k
@@ -86,3 +88,43 @@ k AS (SELECT d.doc_id, a.j, a.x, c.j IS NOT NULL AS gone FROM d, (SELECT doc_id
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(*) FILTER (WHERE k.gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(k.x, ' ' ORDER BY k.j) FILTER (WHERE NOT k.gone), '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.w
 """
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    return drop_repeated_chunks(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("kept_text").cast("binary"), F.lit(b"")), 256).alias("kept_sha256"))
+
+
+ORACLES["op7_line_dedup"] = """
+WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, ('0x' || substr(md5(x), 1, 8))::BIGINT AS h FROM l),
+b AS (SELECT *, CASE WHEN i = 0 OR (lag(h) OVER (PARTITION BY doc_id ORDER BY i) * 31 + h) % 3 = 0 THEN 1 ELSE 0 END AS s FROM h),
+c AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM b),
+k AS (SELECT doc_id, c, min(i) AS j, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, c HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, j) AS r FROM k),
+m AS (SELECT c.doc_id, c.i, c.x, coalesce(r.r > 1, false) AS gone FROM c LEFT JOIN r ON c.doc_id = r.doc_id AND c.c = r.c)
+SELECT d.doc_id, count(m.i)::BIGINT AS n_lines, count(*) FILTER (WHERE m.gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(m.x, chr(10) ORDER BY m.i) FILTER (WHERE NOT m.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
+
+
+@query
+def op10_decontamination(spark, sf_dir):
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+ORACLES["op10_decontamination"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+n AS (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS g FROM n),
+q AS (SELECT DISTINCT n FROM g),
+p AS (SELECT doc_id, q.n, w, unnest(range(1, len(w) - q.n + 2)) AS i FROM d, q WHERE len(w) >= q.n),
+e AS (SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS g FROM p),
+h AS (SELECT e.doc_id, e.i, e.n, g.item_id FROM e JOIN g USING (n, g)),
+c AS (SELECT doc_id, count(DISTINCT j)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
