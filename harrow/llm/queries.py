@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from harrow.llm.common import shared_path, table
 from harrow.llm.decontamination import contamination
 from harrow.llm.line_dedup import drop_repeated_chunks
+from harrow.llm.minhash_dedup import near_duplicates
 from harrow.llm.mixing import mix_sources
 from harrow.llm.substring_dedup import drop_repeated_spans
 from harrow.llm.topk import as_integers, top_k
@@ -20,6 +21,11 @@ def query(f):
     return f
 
 
+@query
+def op1_minhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_mix_sources(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
