@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.llm.common import shared_path, table
+from harrow.llm import language_id, quality
+from harrow.llm.common import held_out, shared_path, table
 from harrow.llm.decontamination import contamination
 from harrow.llm.line_dedup import drop_repeated_chunks
 from harrow.llm.minhash_dedup import near_duplicates
@@ -47,6 +48,20 @@ SELECT doc_id, source, size, source_size, target, (epochs * size + greatest(0, l
 """
 
 
+@query
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages", "top_passage")
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op6_exact_topk(spark, sf_dir):
     vectors = as_integers(table(spark, sf_dir, "embeddings"))
