@@ -50,3 +50,9 @@ def let(value: Column, body) -> Column:
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     """Bytes of all texts; sizes the buckets of what is shuffled."""
     return docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, broadcast_rows=300_000) -> DataFrame:
+    """rows whose key is not in gone. gone is computed once, and broadcast up to broadcast_rows rows; beyond that both sides are shuffled."""
+    gone = cut(gone.select(key).distinct())
+    return rows.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, key, "left_anti")

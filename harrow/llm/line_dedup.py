@@ -32,7 +32,7 @@ def chunks(text: Column, divisor: int, with_text: bool) -> Column:
     return let(F.split(text, "\n"), of)
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divisor=3) -> DataFrame:
+def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divisor=3, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes each multi-line chunk that equals, byte for byte, one that stands earlier (by id, then place): (doc_id, n_lines, n_removed, kept_text).
 
     Chunk keys are counted globally; only chunks whose key occurs twice are compared: the earliest chunk of a key is found with a pre-aggregated minimum, and
@@ -40,7 +40,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divi
     join has one row for each key on one side, so that a hot key's other side can be split.
 
     Lines end at line feeds; text that is left keeps its lines unchanged. Null texts have 0 lines and a null kept_text; an empty text is one empty line. Null ids come first.
-    Rows that repeat id and text are the same document and keep the same lines. No rows give no rows. Other columns are ignored.
+    Rows that repeat id and text are the same document and keep the same lines. No rows give no rows. Columns named in carry are kept, others are ignored.
     """
     rid = F.xxhash64(id_col, text_col)
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), rid.alias("rid"), F.col(text_col).alias("text"))
@@ -50,7 +50,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divi
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "j", "body")).alias("first"))
     later = found.join(first, "key").where((F.col("body") == F.col("first.body")) & ~F.struct("doc_id", "rid", "j").eqNullSafe(F.struct("first.doc_id", "first.rid", "first.j")))
     gone = later.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("j", "n")).alias("gone"))
-    everything = docs.select(F.col(id_col).alias("doc_id"), rid.alias("rid"), F.col(text_col).alias("text")).alias("a")
+    everything = docs.select(F.col(id_col).alias("doc_id"), rid.alias("rid"), F.col(text_col).alias("text"), *[F.col(x).alias(f"__carry_{x}") for x in carry]).alias("a")
     mine = everything.join(gone.alias("b"), (F.col("a.rid") == F.col("b.rid")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
     def keep(lines: Column, gone: Column) -> Column:
         dropped = F.flatten(F.transform(gone, lambda c: F.sequence(c["j"], c["j"] + c["n"] - 1)))
@@ -59,4 +59,4 @@ def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divi
     text, n = F.col("a.text"), F.coalesce(F.aggregate("b.gone", F.lit(0), lambda a, c: a + c["n"]), F.lit(0)).cast("long")
     kept = F.when(F.col("b.gone").isNull(), text).otherwise(let(F.split(text, "\n"), lambda lines: keep(lines, F.col("b.gone"))))
     lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    return mine.select("a.doc_id", lines.alias("n_lines"), n.alias("n_removed"), kept.alias("kept_text"))
+    return mine.select("a.doc_id", lines.alias("n_lines"), n.alias("n_removed"), kept.alias("kept_text"), *[F.col(f"a.__carry_{x}").alias(x) for x in carry])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harrow.llm import language_id, quality
+from harrow.llm.chat_repair import repair_roles
 from harrow.llm.common import held_out, shared_path, table
 from harrow.llm.decontamination import contamination
 from harrow.llm.line_dedup import drop_repeated_chunks
@@ -55,6 +56,11 @@ def op3_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+@query
+def op4_chat_repair(spark, sf_dir):
+    return repair_roles(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
