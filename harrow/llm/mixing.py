@@ -28,7 +28,7 @@ def source_targets(per_source: DataFrame, weights=(5, 2, 1), share=1.5, most_epo
     return rows.withColumn("target", F.coalesce(F.least("_cap", F.col("_final") * F.col("_weight")), F.col("_cap"))).select("source", "source_size", "target", "_n")
 
 
-def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, most_epochs=2.0, seed="mix", rows_per_range=1000) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, most_epochs=2.0, seed="mix", rows_per_range=1000, salts=32) -> DataFrame:
     """How many words of each document the mix takes: (doc_id, source, size, source_size, target, taken).
 
     Each source is put in a hash-random order (md5 of seed and id) and read from its start until its target, in whole words, is
@@ -48,8 +48,10 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.select(name.alias("_source"), "source_size", "target", epochs.alias("_epochs"), (budget - epochs * F.col("source_size")).alias("_rest"), F.ceil(F.col("_n") / F.lit(rows_per_range)).alias("_ranges"))
+    # the plan is joined on source and a salt, so that a large source is not one task's
+    plan = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     part = F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / F.lit(float(2**32)) * F.col("_ranges")).cast("long")
-    rows = sized.withColumn("_source", name).join(plan, "_source").withColumn("_range", part)
+    rows = sized.withColumn("_source", name).withColumn("_salt", F.pmod(F.hash("_key"), F.lit(salts))).join(plan, ["_source", "_salt"]).withColumn("_range", part)
     offsets = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
     offsets = offsets.withColumn("_offset", F.coalesce(F.sum("_sum").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
