@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 #: States are the role of the turn before; 0 is the start. A conversation is an optional system turn, then user and assistant in turn, and ends with the assistant.
 ROLES = ("start", "system", "user", "assistant")
 LEGAL = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
-#: Costs of a changed role, a merge with the turn before, and an empty turn put in.
-RELABEL, MERGE, INSERT = 2.0, 1.0, 3.0
+#: Costs of a known role that is changed, an unknown one that is given a role, a merge with the turn before, and an empty turn put in.
+RELABEL, NAME, MERGE, INSERT = 5.0, 2.0, 1.0, 3.0
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 INF = float("inf")
 
@@ -27,9 +27,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for s in range(4):
             for r in (1, 2, 3):
                 other = role != r
-                ways = [(RELABEL * other + MERGE, other + 2)] if s == r else []
-                ways += [(RELABEL * other, int(other))] if (s, r) in LEGAL else []
-                ways += [(RELABEL * other + INSERT, other + 4 * x) for x in (2, 3) if (s, x) in LEGAL and (x, r) in LEGAL]
+                change = other * (RELABEL if role else NAME)
+                ways = [(change + MERGE, other + 2)] if s == r else []
+                ways += [(change, int(other))] if (s, r) in LEGAL else []
+                ways += [(change + INSERT, other + 4 * x) for x in (2, 3) if (s, x) in LEGAL and (x, r) in LEGAL]
                 if ways:
                     cost[role, s, r], action[role, s, r] = min(ways)
     return cost, action, np.array([INF, 2 * INSERT, INSERT, 0.0])
@@ -114,7 +115,7 @@ def repair_roles(turns: DataFrame, conv_col="conv_id", turn_col="turn", role_col
     Turns are cut into parts of at most `part`, and parts are solved apart: the least costs between all states of a part are a 4x4 table; tables are folded up to the
     conversation, and the states found there go down again. So a conversation that holds a third of all turns is many tasks.
 
-    Turns are ordered by turn (null last), role and text. A null role or an unknown one can become any role at the cost of a relabel. A null text is
+    Turns are ordered by turn (null last), role and text. A null role or an unknown one can become any role at a lower cost. A null text is
     empty. Null conversation ids are one conversation. Repeated rows stay and are merged. No rows give no rows.
     """
     c = F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit("n"))
