@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import text_bytes
+from harrow.llm.common import cut, text_bytes
 from harrow.llm.wordhash import Words, batches
 
 #: A null id comes after all others.
@@ -34,6 +36,17 @@ def _ids(pdf: pd.DataFrame) -> np.ndarray:
     return pdf["id"].fillna(NO_ID).to_numpy(np.int64) if pdf["id"].isna().any() else pdf["id"].to_numpy(np.int64)
 
 
+def _copies(pdf: pd.DataFrame, copied: pd.DataFrame) -> np.ndarray:
+    """Which rows' texts a document with a smaller id has too. Ids that rows repeat with different texts are told apart by the text's md5."""
+    known = set(zip(copied["copy"].astype("int64"), copied["h"]))
+    some = {i for i, _ in known}
+    return np.array([i in some and b is not None and (i, hashlib.md5(b).hexdigest()) in known for i, b in zip(_ids(pdf).tolist(), pdf["body"])], bool)
+
+
+def _without(pdf: pd.DataFrame, copied: pd.DataFrame) -> pd.DataFrame:
+    return pdf[~_copies(pdf, copied)] if len(copied) and len(pdf) else pdf
+
+
 def _join(blobs, kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
@@ -48,7 +61,8 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
     Anchors are windows of window - period + 1 words at places that are, modulo period, in cover. As the differences of cover are all
     residues, two equal windows hold an equal anchor at the same offset. So: (1) each chunk of documents hashes its anchors, (2)
     anchors seen in two documents are found by hash, (3) windows around those anchors are extended to full width and hashed with 128 bits, (4)
-    each such window gets the smallest id that holds it, (5) the documents with larger ids lose what it covers. Chunks are hashes of
+    each such window gets the smallest id that holds it, (5) the documents with larger ids lose what it covers. Of equal texts only
+    the one with the smallest id goes through this; the others lose all words if they have a window. Chunks are hashes of
     the id, about chunk_bytes of text each; what a chunk sends of a hash is one value however often it occurs, so a passage or document
     that a third of the corpus repeats adds one value for each chunk. Windows are judged on the input, not on what is left.
 
@@ -67,8 +81,9 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
         at = np.flatnonzero(covered[w.place() % period] & (w.left() >= width))
         return at[w.n[w.text[at]] >= window]
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts, ids, found, owners = _texts(pdf), _ids(pdf), [], []
+    def gather(pdf: pd.DataFrame, copied: pd.DataFrame) -> pd.DataFrame:
+        pdf = _without(pdf, copied)
+        texts, ids, found, owners = _texts(pdf), _ids(pdf), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for a, b in batches(texts):
             w = Words(texts[a:b])
             at = anchors(w)
@@ -108,9 +123,11 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
 
     def extend(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         names = ["bucket", "chunk", "a", "b", "least", "several"]
-        if not len(pdf) or not len(known):
+        pdf = _without(pdf, known[known["copy"].notna()])
+        hot = np.sort(_join(known["v0"].dropna(), np.uint64))
+        if not len(pdf) or not len(hot):
             return pd.DataFrame([], columns=names)
-        hot, texts, ids, parts = np.sort(_join(known["v0"], np.uint64)), _texts(pdf), _ids(pdf), []
+        texts, ids, parts = _texts(pdf), _ids(pdf), []
         for i, j in batches(texts):
             w = Words(texts[i:j])
             at = anchors(w)
@@ -141,8 +158,8 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
         a, b, least, several, chunk = a[order], b[order], least[order], several[order], chunk[order]
         first = _runs(a, b)
         size = np.diff(np.r_[first, len(a)])
-        keep = np.repeat((size > 1) | np.logical_or.reduceat(several, first), size)
         owner = np.repeat(np.minimum.reduceat(least, first), size)
+        keep = (owner < least) | several  # else the chunk holds the first document only
         return _by_chunk(chunk[keep], a[keep], b[keep], owner[keep])
 
     def remove(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +167,8 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
         if len(pdf):
             texts, ids = _texts(pdf), _ids(pdf)
             none = pdf["id"].isna().to_numpy()
-            ha, hb, ho = (_join(known[c], t) if len(known) else np.zeros(0, t) for c, t in (("v0", np.uint64), ("v1", np.uint64), ("v2", np.int64)))
+            copy = _copies(pdf, known[known["copy"].notna()])
+            ha, hb, ho = (_join(known[c].dropna(), t) for c, t in (("v0", np.uint64), ("v1", np.uint64), ("v2", np.int64)))
             order = np.lexsort((hb, ha))
             ha, hb, ho = ha[order], hb[order], ho[order]
             for i, j in batches(texts):
@@ -177,6 +195,8 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
                 gone = np.cumsum(gone[:-1]) > 0
                 for t in range(j - i):
                     g, words = gone[w.first[t]:w.last[t]], texts[i + t].split()
+                    if copy[i + t] and len(g) >= window:
+                        g = np.ones(len(g), bool)
                     spans: list[int] = []
                     if g.any():
                         spans = np.flatnonzero(np.diff(np.r_[False, g, False].view(np.int8))).tolist()
@@ -184,9 +204,12 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
                     out.append((None if none[i + t] else int(ids[i + t]), len(g), len(g) - len(words), b" ".join(words), spans))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "removed"]).astype({"doc_id": "Int64"})
 
-    found = rows.groupBy("chunk").applyInPandas(gather, "bucket long, chunk long, one binary, many binary")
+    texts_ = rows.where(F.col("body").isNotNull()).select("id", "chunk", F.md5("body").alias("h"))
+    first_ids = texts_.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1 and least is not null").select("h", "least")
+    copied = cut(texts_.join(first_ids, "h").where("id > least or id is null").select("chunk", F.coalesce("id", F.lit(NO_ID)).alias("copy"), "h").distinct())
+    found = rows.groupBy("chunk").cogroup(copied.groupBy("chunk")).applyInPandas(gather, "bucket long, chunk long, one binary, many binary")
     hot = found.groupBy("bucket").applyInPandas(repeated, "chunk long, v0 binary")
-    spans = rows.groupBy("chunk").cogroup(hot.groupBy("chunk")).applyInPandas(extend, "bucket long, chunk long, a binary, b binary, least binary, several binary")
+    spans = rows.groupBy("chunk").cogroup(hot.unionByName(copied, True).groupBy("chunk")).applyInPandas(extend, "bucket long, chunk long, a binary, b binary, least binary, several binary")
     known = spans.groupBy("bucket").applyInPandas(owners, "chunk long, v0 binary, v1 binary, v2 binary")
-    kept = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(remove, "doc_id long, n_words long, n_removed long, kept binary, removed array<int>")
+    kept = rows.groupBy("chunk").cogroup(known.unionByName(copied, True).groupBy("chunk")).applyInPandas(remove, "doc_id long, n_words long, n_removed long, kept binary, removed array<int>")
     return kept.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "removed")
