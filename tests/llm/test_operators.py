@@ -1,7 +1,6 @@
 """Each training-text operator against brute force on small fixtures, and its defined results in edge cases."""
 
 import hashlib
-import itertools
 import random
 import re
 from collections import Counter
@@ -20,6 +19,7 @@ from harrow.llm.substring_dedup import drop_repeated_spans
 from harrow.llm.topk import as_integers, top_k
 from harrow.llm.warc import read_archive, write_archive
 from harrow.llm.wordhash import Words
+from tests_llm_force import classes_by_force, targets_by_force
 
 #: Documents with columns whose names the operators use for themselves.
 DOCS = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()), ("size", T.StringType()), ("key", T.StringType()), ("h", T.StringType()), ("chunk", T.StringType()), ("rid", T.StringType()))])
@@ -63,21 +63,6 @@ def test_words_hash_alike_wherever_they_stand():
 
 
 # ---- 1
-def classes_by_force(rows, least=0.8):
-    sets = {}
-    for i, t in rows:
-        w = SPACE.findall(t or "")
-        sets[i] = Counter(tuple(w[j:j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
-    root = {i: i for i in sets}
-    find = lambda v: v if root[v] == v else find(root[v])
-    for a, b in itertools.combinations(sets, 2):
-        both = sum((sets[a] & sets[b]).values())
-        if both and both / (sum(sets[a].values()) + sum(sets[b].values()) - both) >= least:
-            x, y = find(a), find(b)
-            root[max(x, y)] = min(x, y)
-    return {i: find(i) for i in sets}
-
-
 def test_near_duplicates_equal_brute_force(spark):
     rows = corpus(1)
     rng = random.Random(5)
@@ -107,23 +92,6 @@ def test_dart_signatures_estimate_weighted_similarity():
 
 
 # ---- 2
-def targets_by_force(sizes):
-    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
-    left, capped, target = 1.5 * sum(sizes.values()), set(), {}
-    while True:
-        free = [s for s in names if s not in capped]
-        if not free:
-            return target
-        level = left / sum(weight[s] for s in free)
-        over = [s for s in free if level * weight[s] > 2 * sizes[s]]
-        if not over:
-            return target | {s: level * weight[s] for s in free}
-        for s in over:
-            target[s], left = 2.0 * sizes[s], left - 2 * sizes[s]
-            capped.add(s)
-
-
 def test_mix_meets_targets(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), rng.choice(["b", "a", "é", "Z", None, "a", "a", "a"])) for i in range(3000)]
