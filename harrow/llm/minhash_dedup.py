@@ -123,8 +123,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k=5, leas
     Elements are k-word shingles (words between ASCII white space, unchanged), weighted by how often a text has them. Equal texts are one
     class from the start and one of them goes on. Signatures of bands * rows coordinates are banded: at a similarity of 0.8, 28 bands of 5 miss a
     pair with a probability of 0.00002. In each bucket all members are compared with the bucket's smallest id, on all shingles. That gives classes. What is
-    left are pairs that share a bucket and not a class: they are compared too if their distances to the bucket's smallest id and their sizes allow a link (both
-    bounds are exact). So no candidate is lost and pairs inside a class are never listed.
+    left are pairs that share a bucket and not a class: they share the bucket's smallest id, and all members of that id's buckets that are not in its class are compared
+    with all others there, on all shingles, in blocks that return links only. So no candidate is lost, and pairs inside a class are never compared or listed. That step's
+    work is the product of a group's members outside the class and its members.
 
     Null texts and texts without words are in classes of their own. Rows that repeat an id are one document: their texts are linked. A null id
     takes no part and has a null class. No rows give no rows. Other columns are ignored.
@@ -153,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k=5, leas
     reps = reps.groupBy("key", "node").agg(F.max("total").alias("total"))
     buckets = reps.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     placed = cut(reps.join(buckets, "key").select("key", "node", "hub", "total"))
-    tested = cut(_compare(text, placed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), k))
+    tested, sets = _compare(text, placed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), k)
     # texts of one id, when rows repeat it, are linked as they are
     edges = tested.where(F.col("s") >= least).select("a", "b")
     copies = signed.where("total > 0").select("id", "h").join(nodes, "h").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
@@ -161,27 +162,65 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k=5, leas
     joined = copies.join(several, F.col("a") == F.col("id"), "left_semi")
     edges = cut(edges.union(joined))
     labels = cut(components(edges))
-    labelled = placed.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    hubs = labels.select(F.col("v").alias("hub"), F.col("label").alias("hub_label"))
-    labelled = labelled.join(hubs, "hub", "left").withColumn("stray", F.col("label") != F.coalesce("hub_label", "hub"))
-    sims = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), "s")
-    labelled = labelled.join(sims, ["node", "hub"], "left").withColumn("d", F.lit(1.0) - F.coalesce("s", F.lit(1.0)))
-    strays = cut(labelled.where("stray").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("total").alias("ta"), F.col("d").alias("da")))
-    if not strays.isEmpty():
-        others = labelled.where("node <> hub").join(strays.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("total").alias("tb"), F.col("d").alias("db"), F.col("stray").alias("sb"))
-        can = (F.col("la") != F.col("lb")) & (~F.col("sb") | (F.col("a") < F.col("b"))) & (F.abs(F.col("da") - F.col("db")) <= 1 - least + 1e-9) & (F.least("ta", "tb") >= least * F.greatest("ta", "tb") - 1e-9)
-        pairs = cut(strays.join(others, "key").where(can).select("a", "b").distinct())
-        if not pairs.isEmpty():
-            more = cut(_compare(text, pairs, k).where(F.col("s") >= least).select("a", "b"))
-            if not more.isEmpty():
-                labels = components(edges.union(more))
+    more = cut(_between_classes(placed.select("hub", "node", "total").distinct(), labels, sets, least))
+    if not more.isEmpty():
+        labels = components(edges.union(more))
     own = signed.where("total > 0").select("id", "h").distinct().join(nodes, "h").join(labels.select(F.col("v").alias("node"), "label"), "node", "left")
     own = own.groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     return docs.select(F.col(id_col).alias("doc_id")).join(own, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _compare(text: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """pairs (a, b) with their similarity s. Only texts that occur in a pair are read into shingles."""
+def _between_classes(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float, block_size=200_000) -> DataFrame:
+    """Links (a, b) between classes among the members (hub, node, total) of each hub's buckets.
+
+    A stray is a member that is not in its hub's class. Strays are compared with all members of the same hub on all shingles. Members of a hub are hashed into blocks of about
+    block_size shingles; a pair of blocks is one task's group, which returns no more links than join its classes: at most one for each class.
+    """
+    named = members.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").join(labels.select(F.col("v").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
+    named = named.select("hub", "node", "total", F.coalesce("label", "node").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label")).where("node <> hub")
+    groups = named.groupBy("hub").agg(F.ceil(F.sum("total") / block_size).cast("int").alias("blocks"), F.count_if(F.col("label") != F.col("hub_label")).alias("strays")).where("strays > 0")
+    named = cut(named.join(groups, "hub").withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blobs = sets.withColumnRenamed("id", "node")
+    strays = named.where(F.col("label") != F.col("hub_label")).select("hub", F.col("block").alias("i"), every.alias("j"), "node", "label").join(blobs, "node")
+    others = named.select("hub", F.col("block").alias("j"), every.alias("i"), "node", "label").join(blobs, "node")
+    others = others.select(*[F.col(c).alias(c) for c in ("hub", "i", "j", "node", "label", "blob")])  # columns of their own
+
+    def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        root: dict = {}
+
+        def find(v):
+            while v in root:
+                v = root[v]
+            return v
+
+        if len(a) and len(b):
+            each = [np.frombuffer(x, U).reshape(2, -1) for x in b["blob"]]
+            known, local = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
+            count = np.concatenate([x[1] for x in each]).astype(np.int64)
+            starts = np.cumsum([0] + [x.shape[1] for x in each])[:-1]
+            totals, classes, ids = np.add.reduceat(count, starts), b["label"].to_numpy(), b["node"].to_numpy()
+            for node, label, blob in zip(a["node"], a["label"], a["blob"]):
+                h, n = np.frombuffer(blob, U).reshape(2, -1)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                mine = np.zeros(len(known), np.int64)
+                mine[at[known[at] == h]] = n[known[at] == h]
+                both = np.add.reduceat(np.minimum(mine[local], count), starts)
+                found = (both >= least * (int(n.sum()) + totals - both)) & (classes != label)
+                for of, first in zip(*np.unique(classes[found], return_index=True)):  # one link for each class that is not joined yet
+                    x, y = find(label), find(of)
+                    if x != y:
+                        root[x] = y
+                        out.append((node, ids[found][first]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    kind = members.schema["node"].dataType.simpleString()
+    return strays.groupBy("hub", "i", "j").cogroup(others.groupBy("hub", "i", "j")).applyInPandas(links, f"a {kind}, b {kind}")
+
+
+def _compare(text: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) with their similarity s, shingles (id, blob) of the texts that occur in a pair)."""
     def blobs(parts):
         for pdf in parts:
             texts = list(pdf["body"])
@@ -201,4 +240,4 @@ def _compare(text: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
     sets = cut(text.join(few, "id", "left_semi").mapInPandas(blobs, f"id {kind}, blob binary").groupBy("id").agg(F.max("blob").alias("blob")))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("blob").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("blob").alias("y")), "b")
-    return both.mapInPandas(compare, f"a {kind}, b {kind}, s double")
+    return cut(both.mapInPandas(compare, f"a {kind}, b {kind}, s double")), sets
