@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.ranking import hash_rank
-from harrow.plans.views import checkpointed
+from harrow.functions.storage import checkpointed
 
 
 def asset_facts(docs: DataFrame, id_col="doc_id", body="text") -> DataFrame:

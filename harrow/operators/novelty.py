@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.storage import checkpointed
+
 
 def centroids(rows: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     """(label, mean): the mean vector of each label of dim; a label without rows has the mean of all."""
@@ -108,8 +110,6 @@ def mahalanobis(rows: DataFrame, means: DataFrame, inverse: np.ndarray, key: str
 
 def fit(rows: DataFrame) -> tuple[DataFrame, np.ndarray, float]:
     """(means, precision, intensity) of labelled embeddings."""
-    from harrow.plans.views import checkpointed
-
     means = checkpointed(centroids(rows))
     cov = checkpointed(pooled_covariance(rows, means))
     s = shrinkage(rows, means, cov).first()

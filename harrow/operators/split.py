@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.ranking import hash_rank
+from harrow.functions.storage import checkpointed
 
 
 def group_split(records: DataFrame, val=0.15, test=0.15, seed=1337, least=1) -> DataFrame:
@@ -64,8 +65,6 @@ def systematic_sample(records: DataFrame, limit: int, by=("class_id", "path")) -
     """
     n = records.groupBy("split").agg(F.count(F.lit(1)).alias("_n"))
     ordered = records.repartitionByRange(F.col("split"), *[F.col(c) for c in by]).withColumn("_p", F.spark_partition_id())
-    from harrow.plans.views import checkpointed
-
     ordered = checkpointed(ordered)
     counts = ordered.groupBy("split", "_p").agg(F.count(F.lit(1)).alias("_m"))
     counts = counts.withColumn("_before", F.coalesce(F.sum("_m").over(Window.partitionBy("split").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_m")

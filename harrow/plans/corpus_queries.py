@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.functions.ranking import hash_rank  # noqa: F401
+from harrow.functions.storage import checkpointed
 from harrow.operators import clean as C
 from harrow.operators import profile as P
 from harrow.operators import split as S
 from harrow.plans.registry import query
-from harrow.plans.views import CATEGORIES, SOURCE_CLASSES, checkpointed, dim, sql, table, view
+from harrow.plans.views import SOURCE_CLASSES, dim, sql, table, view
 
 FIELDS = ("path", "class_id", "category", "severity", "life_stage", "group_key", "split", "source")
 LIMITS = {"min_side": 20, "max_aspect": 7.2, "min_std": 12.0}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from harrow.functions.storage import checkpointed
 from harrow.operators import decision as D
 from harrow.operators import metrics as M
 from harrow.operators import novelty as N
 from harrow.plans.registry import query
-from harrow.plans.views import checkpointed, table, view
+from harrow.plans.views import table, view
 
 T = 0.05
 K = 10

@@ -94,12 +94,3 @@ def sql(*names: str, **more: str) -> str:
     parts += [f"{k} AS ({v})" for k, v in more.items()]
     return "WITH " + ",\n".join(parts) + "\n"
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Computed once and kept in the folder that the session shares; a new temporary one where none is set."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
