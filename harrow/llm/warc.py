@@ -56,6 +56,12 @@ def write_archive(pages: DataFrame, path: str, id_col="page_id", url_col="url",
     rows.select("page_id", "sha256", "payload_bytes", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
+def export_warc(records: DataFrame, path: str) -> None:
+    """Writes records, as read_archive() gives them with payload, as WARC files: text parts whose line end is the two line ends after each record. Payloads must be UTF-8 text."""
+    body = F.when(F.col("record_type") == "response", F.col("payload").cast("string")).otherwise("")
+    records.select(F.concat("header", body).alias("value")).write.option("lineSep", EOL * 2).text(path)
+
+
 def read_archive(spark: SparkSession, path: str, with_payload=True) -> DataFrame:
     """The records, rebuilt: what each header says, joined with its payload, whose digests are computed again and compared.
 

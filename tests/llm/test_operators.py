@@ -17,7 +17,7 @@ from harrow.llm.minhash_dedup import dart_minhash, near_duplicates, shingles
 from harrow.llm.mixing import mix_sources, take_mix
 from harrow.llm.substring_dedup import drop_repeated_spans
 from harrow.llm.topk import as_integers, top_k
-from harrow.llm.warc import read_archive, write_archive
+from harrow.llm.warc import export_warc, read_archive, write_archive
 from harrow.llm.wordhash import Words
 from tests_llm_force import classes_by_force, targets_by_force
 
@@ -258,6 +258,15 @@ def test_warc_round_trip(spark, tmp_path):
         head, _, rest = record.partition(b"\r\n\r\n")
         length = int(re.search(rb"Content-Length: (\d+)", head)[1])
         assert len(rest) == length + 4 and rest.endswith(b"\r\n\r\n") and head.startswith(b"WARC/1.1\r\n")
+    export_warc(read_archive(spark, str(tmp_path / "w")), str(tmp_path / "files"))
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "files").glob("part-*")))
+    found = []
+    while whole:  # by the lengths that the headers give
+        head, _, whole = whole.partition(b"\r\n\r\n")
+        n = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        found.append(head + b"\r\n\r\n" + whole[:n + 4])
+        whole = whole[n + 4:]
+    assert sorted(found) == sorted(bytes(r.record) for r in got.values())
     write_archive(pages, str(tmp_path / "x"), least_bytes=60)
     assert {r.page_id for r in read_archive(spark, str(tmp_path / "x"), False).collect() if r.record_type == "revisit"} == set()
     write_archive(pages.limit(0), str(tmp_path / "y"))
