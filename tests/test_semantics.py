@@ -182,3 +182,16 @@ def test_novelty_separates_and_survives_empty_classes(spark):
     c = {r.label: list(r["mean"]) for r in N.centroids(e, dim).collect()}
     assert c[3] == c[4] and len(c) == 5
     assert N.judge(judged.select("vec_id", "score"), None).where("is_novel").count() == 0 and N.spread(e.withColumn("embedding", F.array(*[F.lit(1.0)] * 12))).first().degenerate
+
+
+def test_streams_drop_what_is_later_than_two_windows(spark, tmp_path):
+    from harrow.streaming import warning as SW
+    from harrow.streaming.run import finish
+
+    day = lambda n: dt.datetime(2026, 1, 1) + dt.timedelta(days=n)
+    schema = "class_id string, field_id string, zone string, confidence double, ts timestamp"
+    for days in ([60], [60], [1, 40, 61]):  # day 1 comes when the watermark has been at day 32 for a batch
+        spark.createDataFrame([("c", "f", "z", 0.9, day(n)) for n in days] + [("c", "f", "z", 0.1, day(61))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = finish(SW.daily_counts(SW.intake(rows)), "late", "update", [*SW.KEY, "day"]).collect()
+    assert {(r.day - dt.date(2026, 1, 1)).days: r.n for r in got} == {60: 2, 40: 1, 61: 1}
