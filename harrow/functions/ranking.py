@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hash_rank(rows: DataFrame, group: str, key: str, rows_per_range=100_000) -> DataFrame:
+def hash_rank(rows: DataFrame, group: str, key: str, rows_per_range=100_000, salts=32) -> DataFrame:
     """rows with rank (from 1, by the hex digest `key` within `group`) and n, the group's rows.
 
     A group is cut into ranges of the digest, as many as its size asks for; a range's rows are ranked in a window, and the rows of earlier ranges are
-    added. So a group that holds a third of all rows is ranked by many tasks. Keys must differ within a group.
+    added. So a group that holds a third of all rows is ranked by many tasks; sizes are joined on the group and a salt of the key for the same reason. Keys must
+    differ within a group.
     """
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    placed = rows.join(sizes, group).withColumn("_range", F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 4294967296.0 * F.ceil(F.col("n") / rows_per_range)).cast("long"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    placed = rows.withColumn("_salt", F.pmod(F.hash(key), F.lit(salts))).join(sizes, [group, "_salt"]).drop("_salt").withColumn("_range", F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 4294967296.0 * F.ceil(F.col("n") / rows_per_range)).cast("long"))
     counts = placed.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_m"))
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
