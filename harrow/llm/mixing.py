@@ -63,11 +63,11 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
 def take_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: a row for each document and epoch, with docs' columns and `epoch`; a document cut by the budget keeps its first words, joined by spaces.
 
-    Rows that repeat an id are reduced to one of them. n_chars, where there is such a column, follows the text.
+    Rows that repeat an id, or have none, are reduced to one of them. n_chars, where there is such a column, follows the text.
     """
     m = "__mix_"
-    taken = mix_sources(docs, **how).where("taken > 0").select("doc_id", F.col("size").alias(f"{m}size"), F.col("taken").alias(f"{m}taken")).dropDuplicates(["doc_id"])
-    rows = docs.dropDuplicates(["doc_id"]).join(taken, "doc_id")
+    taken = mix_sources(docs, **how).where("taken > 0").select(F.col("doc_id").alias(f"{m}id"), F.col("size").alias(f"{m}size"), F.col("taken").alias(f"{m}taken")).dropDuplicates([f"{m}id"])
+    rows = docs.dropDuplicates(["doc_id"]).join(taken, F.col("doc_id").eqNullSafe(F.col(f"{m}id")))
     rows = rows.withColumn(f"{m}epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"{m}taken") / F.col(f"{m}size")) - 1)))
     words = F.least(F.col(f"{m}size"), F.col(f"{m}taken") - F.col(f"{m}epoch") * F.col(f"{m}size"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from harrow.llm import quality
@@ -91,3 +92,17 @@ def test_stages(spark, tables, tmp_path):
 def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables[0])
     assert {"doc_id", "text", "epoch", "taken"} <= set(out.columns) and out.count() > 100
+
+
+def test_stages_on_nulls_repeats_clashing_columns_and_nothing(spark, tables, tmp_path):
+    folder, _ = tables
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a b c d e f g", None, None, 13), (0, "twice " * 30, "en", "a", 180), (0, "twice " * 30, "en", "a", 180), (950, "word " * 30000, "en", "b", 150000)], plain.schema)
+    clash = {c: F.lit("x") for c in ("size", "key", "h", "rid", "chunk", "words", "score", "taken", "epoch", "class_id", "id", "body")}
+    for name, docs in (("empty", plain.limit(0)), ("odd", plain.limit(60).union(odd).withColumns(clash))):
+        for stage, f in corpus_pipeline.STAGES:
+            f(spark, docs, folder).write.parquet(str(tmp_path / name / stage))
+            after = spark.read.parquet(str(tmp_path / name / stage))
+            assert set(docs.columns) <= set(after.columns)
+            docs = after
+        assert (docs.count() == 0) == (name == "empty")
