@@ -107,13 +107,12 @@ def op9_substring_dedup(spark, sf_dir):
 
 ORACLES["op9_substring_dedup"] = r"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
-g AS (SELECT doc_id, i, list_slice(w, i, i + 12) AS g FROM p),
-m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS owner FROM g),
-c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM m WHERE owner < doc_id),
-k AS (SELECT d.doc_id, a.j, a.x, c.j IS NOT NULL AS gone FROM d, (SELECT doc_id AS id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS x FROM d) a LEFT JOIN c ON c.doc_id = a.id AND c.j = a.j WHERE a.id = d.doc_id)
-SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(*) FILTER (WHERE k.gone)::BIGINT AS n_removed, sha256(coalesce(string_agg(k.x, ' ' ORDER BY k.j) FILTER (WHERE NOT k.gone), '')) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.w
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+g AS (SELECT doc_id, i, x, x || ' ' || lead(x, 1) OVER w || ' ' || lead(x, 2) OVER w || ' ' || lead(x, 3) OVER w || ' ' || lead(x, 4) OVER w || ' ' || lead(x, 5) OVER w || ' ' || lead(x, 6) OVER w || ' ' || lead(x, 7) OVER w || ' ' || lead(x, 8) OVER w || ' ' || lead(x, 9) OVER w || ' ' || lead(x, 10) OVER w || ' ' || lead(x, 11) OVER w || ' ' || lead(x, 12) OVER w AS g FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, i, x, CASE WHEN g IS NOT NULL THEN min(doc_id) OVER (PARTITION BY g) END AS owner FROM g),
+k AS (SELECT doc_id, i, x, coalesce(bool_or(owner < doc_id) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone FROM m)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (WHERE gone) AS n, string_agg(x, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY 1) r USING (doc_id)
 """
 
 
