@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.common import held_out
+from harrow.llm.common import cut, held_out
 from harrow.llm.wordhash import batches
 
 DIM = 8192
+#: A broadcast side has at most so many rows; more are shuffled.
+BROADCAST_ROWS = 100_000
 #: ASCII letters in lower case and bytes of other letters as they are; all else is a space.
 FOLD = bytes((c | 32) if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -76,7 +78,8 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & _has_letter(text_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("body"), F.xxhash64(text_col).alias("h"))
     # about four times what is kept, so that few texts are shuffled; what the hash leaves is cut exactly
     share = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
-    rows = rows.join(share, "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    share = cut(share)
+    rows = rows.join(F.broadcast(share) if share.count() <= BROADCAST_ROWS else share, "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "body"))
     sample = rows.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "body")
 
