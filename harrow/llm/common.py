@@ -37,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows=1000) -> None:
+    """Lowers the session's rows for each Arrow batch to `rows`, where it is higher, so that a batch of whole texts stays small in a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def held_out(id_col: str) -> Column:
     """True for rows whose label must not be learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))

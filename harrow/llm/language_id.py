@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.common import cut, held_out
+from harrow.llm.common import cut, held_out, small_batches
 from harrow.llm.wordhash import batches
 
 DIM = 8192
@@ -114,6 +114,7 @@ def identify(docs: DataFrame, model: Centroids, id_col="doc_id", text_col="text"
     A null text, one without a letter, or any text if no language was learned gets `unknown` and score 0. A rejected text keeps its nearest language, with
     rejected true, so that the caller decides. Other columns are ignored; repeated rows get equal results. No rows give no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(_has_letter(text_col), F.col(text_col).cast("binary")).alias("body"))
     m = model
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import cut
+from harrow.llm.common import cut, small_batches
 from harrow.llm.wordhash import U, Words, batches, mix, rolling
 
 #: A broadcast side has at most so many ids; more are shuffled.
@@ -130,6 +130,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k=5, leas
     Null texts and texts without words are in classes of their own. Rows that repeat an id are one document: their texts are linked. A null id
     takes no part and has a null class. No rows give no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     hashed = text.withColumn("h", F.md5("body"))
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import held_out
+from harrow.llm.common import held_out, small_batches
 from harrow.llm.wordhash import Words, batches
 
 #: Bytes by kind: each mark of ASCII its own; letters by case, digits, white space, line feeds, other bytes one each.
@@ -106,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     Ids with several different labels, null labels and null ids take no part. The chosen ids, at most `most` rows, are broadcast; their passages' features are collected.
     With no labelled document, or labels of one kind only, every score is that kind's share (0.5 for none).
     """
+    small_batches(docs.sparkSession)
     agreed = labels.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("_y")).where("y = _y")
     chosen = agreed.orderBy(F.xxhash64("id"), "id").limit(most).select("id", F.col("y").cast("double").alias("y"))
     bags = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body")).join(F.broadcast(chosen), "id")
@@ -136,6 +137,7 @@ def score(docs: DataFrame, model: AttentionModel, id_col="doc_id", text_col="tex
     Only the text is an input. Null and wordless texts are one passage of zeros and have a score too. Repeated rows get equal results; other columns are
     ignored; no rows give no rows.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
 
     def predict(parts):
