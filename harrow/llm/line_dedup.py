@@ -32,24 +32,19 @@ def chunks(text: Column, divisor: int, with_text: bool) -> Column:
     return let(F.split(text, "\n"), of)
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divisor=3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Removes each multi-line chunk that equals, byte for byte, one that stands earlier (by id, then place): (doc_id, n_lines, n_removed, kept_text).
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
 
-    Chunk keys are counted globally; only chunks whose key occurs twice are compared: the earliest chunk of a key is found with a pre-aggregated minimum, and
-    the others go if their bytes equal its bytes. What a third of all documents repeat is one row for each task before the shuffle; the comparison's
-    join has one row for each key on one side, so that a hot key's other side can be split.
 
-    Lines end at line feeds; text that is left keeps its lines unchanged. Null texts have 0 lines and a null kept_text; an empty text is one empty line. Null ids come first.
-    Rows that repeat id and text are the same document and keep the same lines. No rows give no rows. Columns named in carry are kept, others are ignored.
-    """
-    rid = F.xxhash64(id_col, text_col)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), rid.alias("rid"), F.col(text_col).alias("text"))
-    keys = rows.select("rid", F.explode(chunks(F.col("text"), divisor, False)).alias("c")).groupBy("c.key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    found = rows.select("doc_id", "rid", F.explode(chunks(F.col("text"), divisor, True)).alias("c")).select("doc_id", "rid", "c.*").join(keys, "key", "left_semi")
-    found = cut(found)
+def _later(found: DataFrame) -> DataFrame:
+    """The rows (doc_id, rid, j, key, body, ...) whose body equals, byte for byte, that of the earliest row of their key."""
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "j", "body")).alias("first"))
-    later = found.join(first, "key").where((F.col("body") == F.col("first.body")) & ~F.struct("doc_id", "rid", "j").eqNullSafe(F.struct("first.doc_id", "first.rid", "first.j")))
-    gone = later.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("j", "n")).alias("gone"))
+    return found.join(first, "key").where((F.col("body") == F.col("first.body")) & ~F.struct("doc_id", "rid", "j").eqNullSafe(F.struct("first.doc_id", "first.rid", "first.j")))
+
+
+def _kept(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """docs without the lines of gone: (doc_id, rid, gone: disjoint structs of first line j and number n)."""
+    rid = F.xxhash64(id_col, text_col)
     everything = docs.select(F.col(id_col).alias("doc_id"), rid.alias("rid"), F.col(text_col).alias("text"), *[F.col(x).alias(f"__carry_{x}") for x in carry]).alias("a")
     mine = everything.join(gone.alias("b"), (F.col("a.rid") == F.col("b.rid")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left")
     def keep(lines: Column, gone: Column) -> Column:
@@ -60,3 +55,45 @@ def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divi
     kept = F.when(F.col("b.gone").isNull(), text).otherwise(let(F.split(text, "\n"), lambda lines: keep(lines, F.col("b.gone"))))
     lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     return mine.select("a.doc_id", lines.alias("n_lines"), n.alias("n_removed"), kept.alias("kept_text"), *[F.col(f"a.__carry_{x}").alias(x) for x in carry])
+
+
+def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divisor=3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Removes each multi-line chunk that equals, byte for byte, one that stands earlier (by id, then place): (doc_id, n_lines, n_removed, kept_text).
+
+    Chunk keys are counted globally; only chunks whose key occurs twice are compared: the earliest chunk of a key is found with a pre-aggregated minimum, and
+    the others go if their bytes equal its bytes. What a third of all documents repeat is one row for each task before the shuffle; the comparison's
+    join has one row for each key on one side, so that a hot key's other side can be split.
+
+    Lines end at line feeds; text that is left keeps its lines unchanged. Null texts have 0 lines and a null kept_text; an empty text is one empty line. Null ids come first.
+    Rows that repeat id and text are the same document and keep the same lines. No rows give no rows. Columns named in carry are kept, others are ignored.
+    """
+    rows = _rows(docs, id_col, text_col)
+    keys = rows.select("rid", F.explode(chunks(F.col("text"), divisor, False)).alias("c")).groupBy("c.key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    found = rows.select("doc_id", "rid", F.explode(chunks(F.col("text"), divisor, True)).alias("c")).select("doc_id", "rid", "c.*").join(keys, "key", "left_semi")
+    found = cut(found)
+    gone = _later(found).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("j", "n")).alias("gone"))
+    return _kept(docs, gone, id_col, text_col, carry)
+
+
+def drop_repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Removes each run of two or more lines that stands, byte for byte, earlier (by id, then place): columns and edge cases as drop_repeated_chunks().
+
+    A line goes if it and the line before it, or it and the line after it, stand as neighbours earlier. A run that repeats is one whose pairs of
+    neighbours all do, so every repeated run is removed up to its last line, whatever stands around it; a single line that repeats stays.
+
+    Pairs are counted by hash as narrow rows; only the bodies of pairs whose hash occurs twice are fetched and compared.
+    """
+    def pairs(lines: Column, made) -> Column:
+        n = F.greatest(F.size(lines) - 1, F.lit(0))
+        return F.zip_with(F.slice(lines, F.lit(1), n), F.slice(lines, F.lit(2), n), made)
+
+    rows = _rows(docs, id_col, text_col)
+    hashed = rows.select("doc_id", "rid", F.posexplode(let(F.split("text", "\n"), lambda lines: pairs(lines, lambda a, b: F.xxhash64(a, b)))).alias("j", "h"))
+    twice = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
+    places = hashed.join(twice, "h", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set("j").alias("places"))
+    both = rows.alias("a").join(places.alias("b"), (F.col("a.rid") == F.col("b.rid")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")))
+    bodies = let(F.split("a.text", "\n"), lambda lines: F.transform("b.places", lambda j: F.struct(j.alias("j"), F.concat(F.get(lines, j), F.lit("\n"), F.get(lines, j + 1)).alias("body"))))
+    found = cut(both.select("a.doc_id", "a.rid", F.explode(bodies).alias("c")).select("doc_id", "rid", "c.*").withColumn("key", F.md5("body")))
+    lines = _later(found).groupBy("doc_id", "rid").agg(F.array_distinct(F.flatten(F.collect_set(F.array("j", F.col("j") + 1)))).alias("lines"))
+    gone = lines.select("doc_id", "rid", F.transform("lines", lambda j: F.struct(j.alias("j"), F.lit(1).alias("n"))).alias("gone"))
+    return _kept(docs, gone, id_col, text_col, carry)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from harrow.llm import chat_repair, language_id, quality
 from harrow.llm.chat_repair import repair_roles
 from harrow.llm.decontamination import contamination
-from harrow.llm.line_dedup import drop_repeated_chunks
+from harrow.llm.line_dedup import drop_repeated_chunks, drop_repeated_runs
 from harrow.llm.minhash_dedup import dart_minhash, near_duplicates, shingles
 from harrow.llm.mixing import mix_sources, take_mix
 from harrow.llm.substring_dedup import drop_repeated_spans
@@ -240,6 +240,31 @@ def test_line_chunks(spark):
     assert drop_repeated_chunks(docs_of(spark, [])).collect() == []
 
 
+def test_line_runs_equal_brute_force(spark):
+    rng = random.Random(17)
+    own = iter(range(10**6))
+    passages = [[f"p{n} {i}" for i in range(n)] for n in (2, 3, 4, 5, 6)]
+    rows = []
+    for i in range(60):
+        foreign = lambda: [f"own {next(own)}" for _ in range(rng.randrange(4))]
+        rows.append((i, "\n".join(foreign() + passages[i % 5] + foreign() + (passages[rng.randrange(1, 5)][1:] if i % 3 else ["alone"]) + foreign())))
+    rows += [(70, "r\nr\nr\nr"), (71, rows[0][1]), (72, "only"), (73, "only")]
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in drop_repeated_runs(docs_of(spark, rows), carry=("key",)).collect()}
+    seen = set()
+    for i, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        for j, pair in enumerate(zip(lines, lines[1:])):
+            gone |= {j, j + 1} if pair in seen else set()
+            seen.add(pair)
+        left = [x for j, x in enumerate(lines) if j not in gone]
+        assert (got[i].n_lines, got[i].n_removed, got[i].kept_text, got[i].key) == (len(lines), len(gone), "\n".join(left), "y")
+        assert i < 5 or i >= 60 or not set(passages[i % 5]) & set(left)
+    edge = {r.doc_id: r for r in drop_repeated_runs(docs_of(spark, EDGES + [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nd"), (None, "c\nd")])).collect()}
+    assert edge[1000].kept_text is None and edge[1001].kept_text == "" and edge[1001].n_lines == 1 and edge[1].n_removed == 2
+    assert drop_repeated_runs(docs_of(spark, [])).collect() == []
+
+
 # ---- 8
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "http://a", "<p>x</p>"), (1, "http://b", "<p>x</p>"), (2, None, None), (5, "u\r\nv", ""), (4, "http://c", "é" * 50), (None, "n", "<p>x</p>")]
