@@ -28,7 +28,7 @@ def source_targets(per_source: DataFrame, weights=(5, 2, 1), share=1.5, most_epo
     return rows.withColumn("target", F.coalesce(F.least("_cap", F.col("_final") * F.col("_weight")), F.col("_cap"))).select("source", "source_size", "target", "_n")
 
 
-def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, most_epochs=2.0, seed="mix", rows_per_range=1000, salts=32) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), share=1.5, most_epochs=2.0, seed="mix", rows_per_range=1000, salts=32, carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words of each document the mix takes: (doc_id, source, size, source_size, target, taken).
 
     Each source is put in a hash-random order (md5 of seed and id) and read from its start until its target, in whole words, is
@@ -38,10 +38,11 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     Only ids, sizes and hashes are shuffled, never texts.
 
     Null texts and texts without a word have size 0 and are taken 0 times. A null source is a source of its own, the last. Rows
-    that repeat an id each count and are taken on their own. A source of size 0 has target 0. No rows give no rows.
+    that repeat an id each count and are taken on their own. A source of size 0 has target 0. No rows give no rows. Columns named in
+    carry are kept and break ties.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_key")))
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("_key"), *[F.col(c).alias(f"__carry_{c}") for c in carry]))
     plan = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")), weights, share, most_epochs)
     # null-safe, hash-joinable name of a source
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
@@ -54,20 +55,25 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     rows = sized.withColumn("_source", name).withColumn("_salt", F.pmod(F.hash("_key"), F.lit(salts))).join(plan, ["_source", "_salt"]).withColumn("_range", part)
     offsets = rows.groupBy("_source", "_range").agg(F.sum("size").alias("_sum"))
     offsets = offsets.withColumn("_offset", F.coalesce(F.sum("_sum").over(Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size", *[f"__carry_{c}" for c in carry]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_before", before).join(offsets.select("_source", "_range", "_offset"), ["_source", "_range"])
     cut_at = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_rest") - F.col("_offset") - F.col("_before")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + cut_at).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + cut_at).cast("long").alias("taken"), *[F.col(f"__carry_{c}").alias(c) for c in carry])
 
 
 def take_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: a row for each document and epoch, with docs' columns and `epoch`; a document cut by the budget keeps its first words, joined by spaces.
 
-    Rows that repeat an id, or have none, are reduced to one of them. n_chars, where there is such a column, follows the text.
+    Rows that repeat an id, or have none, are each taken on their own. n_chars, where there is such a column, follows the text.
+
+    A row is named by a hash of all its columns and of which are null, so that rows of one name are alike: one of them is joined with how many of them are
+    taken how far, and written so many times.
     """
     m = "__mix_"
-    taken = mix_sources(docs, **how).where("taken > 0").select(F.col("doc_id").alias(f"{m}id"), F.col("size").alias(f"{m}size"), F.col("taken").alias(f"{m}taken")).dropDuplicates([f"{m}id"])
-    rows = docs.dropDuplicates(["doc_id"]).join(taken, F.col("doc_id").eqNullSafe(F.col(f"{m}id")))
+    named = docs.withColumn(f"{m}row", F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
+    taken = mix_sources(named, carry=(f"{m}row",), **how).where("taken > 0").groupBy(f"{m}row", F.col("size").alias(f"{m}size"), F.col("taken").alias(f"{m}taken")).agg(F.count(F.lit(1)).alias(f"{m}n"))
+    rows = named.dropDuplicates([f"{m}row"]).join(taken, f"{m}row")
+    rows = rows.withColumn(f"{m}i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{m}n"))))
     rows = rows.withColumn(f"{m}epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"{m}taken") / F.col(f"{m}size")) - 1)))
     words = F.least(F.col(f"{m}size"), F.col(f"{m}taken") - F.col(f"{m}epoch") * F.col(f"{m}size"))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")

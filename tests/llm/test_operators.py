@@ -117,6 +117,25 @@ def test_mix_edges(spark):
     assert {"epoch", "taken", "size", "key"} <= set(mixed[0].asDict()) and all(len(r.text.split()) == r.taken and r.n_chars == len(r.text) for r in mixed)
 
 
+def test_mix_takes_each_of_rows_that_share_an_id(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, 1, 2, i]), " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(1, 9))), rng.choice(["a", "b", "c"])) for i in range(400)]
+    rows += [(None, "same text", "a")] * 50 + [(7, "same text", "a"), (7, "same text", "b"), (7, "same text", "b", "en")]
+    sizes, taken, first = Counter(), Counter(), Counter()
+    for r in rows:
+        sizes[r[2]] += len(r[1].split())
+    got = take_mix(docs_of(spark, rows)).collect()
+    for r in got:
+        assert len(r.text.split()) == r.taken
+        taken[r.source] += r.taken
+        if r.epoch == 0:
+            first[r.doc_id, r.text, r.source, r.lang] += 1
+    assert all(taken[s] == int(t + 1e-6) for s, t in targets_by_force(sizes).items())
+    all_of = {s for s in sizes if taken[s] >= sizes[s]}
+    want = Counter((r[0], r[1], r[2], r[3] if len(r) > 3 else None) for r in rows if r[2] in all_of)
+    assert all_of and {k: n for k, n in first.items() if k[2] in all_of} == want
+
+
 # ---- 3 and 5
 def test_quality_learns_from_labels_and_scores_whole_texts(spark):
     rng = random.Random(2)
