@@ -48,17 +48,35 @@ def simhash(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return votes.select(id_col, *[total([F.when(F.col(f"v{j}_{b}") > 0, 1 << b).otherwise(0) for b in range(16)]).alias(f"h{j}") for j in range(4)])
 
 
-def near_pairs(prints: DataFrame, most=4, largest_bucket=2000) -> DataFrame:
-    """(a, b, distance) of rows (path, h0..h3) that share a 16-bit band and differ in at most `most` bits.
+def near_pairs(prints: DataFrame, most=4, largest_bucket: int | None = None, bands=4, block_rows=500) -> DataFrame:
+    """(a, b, distance) of rows (path, h0..h3) that share a band and differ in at most `most` bits.
 
-    Bands larger than largest_bucket are left out, as the operator defines; skipped_buckets() counts them. Four bands find all pairs up to a distance of 3.
+    bands equal parts of the 64 bits find all pairs up to a distance of bands - 1: the reference's four of 16 bits up to 3, five all up to 4.
+    largest_bucket is the reference's limit: larger buckets are left out, and skipped_buckets() counts them. Without it each bucket is compared whole: one of more
+    than block_rows rows is parted again by most + 1 parts of its other bits, of which two rows within `most` share one, and
+    what is still larger is compared in pairs of blocks, each a key of its own.
     """
-    bands = prints.select("path", "h0", "h1", "h2", "h3", F.posexplode(F.array("h0", "h1", "h2", "h3")).alias("band", "value"))
-    usable = bands.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, largest_bucket)).drop("n")
-    bands = bands.join(usable, ["band", "value"])
-    a, b = bands.alias("a"), bands.alias("b")
+    edges = [64 * i // bands for i in range(bands + 1)]
+    bit_string = F.concat(*[F.lpad(F.bin(f"h{j}"), 16, "0") for j in range(4)])
+    held = prints.select("path", "h0", "h1", "h2", "h3", bit_string.alias("bits")).select("*", F.posexplode(F.array(*[F.substring("bits", i + 1, j - i) for i, j in zip(edges, edges[1:])])).alias("band", "value"))
+    size = held.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    held = held.join(size if largest_bucket is None else size.where(F.col("n") <= largest_bucket), ["band", "value"])
+    start = F.get(F.array(*[F.lit(e) for e in edges]), F.col("band"))
+    width = F.length("value")
+    rest = F.concat(F.col("bits").substr(F.lit(1), start), F.col("bits").substr(start + width + 1, F.lit(64)))
+    cuts = [F.floor((64 - width) * i / (most + 1)).cast("int") for i in range(most + 2)]
+    parts = F.array(*[F.struct(F.lit(i).alias("part"), rest.substr(cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("rest")) for i in range(most + 1)])
+    whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit("").alias("rest")))
+    key = ["band", "value", "part", "rest"]
+    held = held.withColumn("p", F.explode(F.when(F.col("n") > block_rows, parts).otherwise(whole))).select("path", "h0", "h1", "h2", "h3", "band", "value", "p.*")
+    count = held.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
+    held = held.join(count, key).withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
+    a, b = held.alias("a"), held.alias("b")
     distance = sum((F.bit_count(F.col(f"a.h{j}").bitwiseXOR(F.col(f"b.h{j}"))) for j in range(1, 4)), F.bit_count(F.col("a.h0").bitwiseXOR(F.col("b.h0"))))
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.path") < F.col("b.path")) & (distance <= most)
+    on = (F.col("a.path") < F.col("b.path")) & (distance <= most) & ((F.col("a.low") == F.col("a.high")) | (F.col("a.block") != F.col("b.block")))
+    for c in (*key, "low", "high"):
+        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     return a.join(b, on).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), distance.cast("int").alias("distance")).distinct()
 
 

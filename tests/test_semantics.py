@@ -195,3 +195,18 @@ def test_streams_drop_what_is_later_than_two_windows(spark, tmp_path):
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = finish(SW.daily_counts(SW.intake(rows)), "late", "update", [*SW.KEY, "day"]).collect()
     assert {(r.day - dt.date(2026, 1, 1)).days: r.n for r in got} == {60: 2, 40: 1, 61: 1}
+
+
+def test_near_pairs_of_large_buckets_equal_brute_force(spark):
+    rng = random.Random(5)
+    prints = [(f"p{i}", 7, *(rng.randrange(1 << 16) for _ in range(3))) for i in range(2100)]  # one bucket of h0
+    prints += [(f"q{i}", h[1], h[2] ^ 1 << rng.randrange(16), h[3] ^ 5, h[4] ^ 2) for i, h in enumerate(prints[:60])]
+    prints += [(f"r{i}", 8, 1, 2, i % 3) for i in range(40)] + [("s0", 0, 0, 0, 0), ("s1", 1, 1, 1, 1)]
+    df = spark.createDataFrame(prints, "path string, h0 int, h1 int, h2 int, h3 int")
+    ints = [(p[0], p[1] << 48 | p[2] << 32 | p[3] << 16 | p[4]) for p in prints]
+    want = {(min(p, q), max(p, q)) for i, (p, x) in enumerate(ints) for q, y in ints[:i] if (x ^ y).bit_count() <= 4}
+    got = lambda **how: {(r.a, r.b) for r in C.near_pairs(df, **how).collect()}
+    assert ("s0", "s1") in want and got(bands=5) == got(bands=5, block_rows=7) == want
+    by = {p[0]: p[1:] for p in prints}
+    assert got() == got(block_rows=7) == {(p, q) for p, q in want if any(x == y for x, y in zip(by[p], by[q]))} != want
+    assert ("p0", "q0") in got() and ("p0", "q0") not in got(largest_bucket=2000)
