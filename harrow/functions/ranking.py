@@ -1,10 +1,12 @@
-"""Ranks within large groups by a uniform hash."""
+"""Ranks within large groups by a uniform hash, and running sums over a global order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.functions.storage import checkpointed
+
 
 def hash_rank(rows: DataFrame, group: str, key: str, rows_per_range=100_000, salts=32) -> DataFrame:
     """rows with rank (from 1, by the hex digest `key` within `group`) and n, the group's rows.
@@ -20,3 +22,19 @@ def hash_rank(rows: DataFrame, group: str, key: str, rows_per_range=100_000, sal
     counts = counts.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
     within = F.row_number().over(Window.partitionBy(group, "_range").orderBy(key))
     return placed.withColumn("_within", within).join(counts, [group, "_range"]).withColumn("rank", F.col("_within") + F.col("_before")).drop("_range", "_within", "_before")
+
+
+def running(rows: DataFrame, order: list, **values: Column) -> DataFrame:
+    """rows with, under each name, the sum of its expression over all rows before in the order (0 at the first).
+
+    Rows are range-partitioned by the whole order and kept in the shared folder; a row's sum is that of the partitions before, of which there are few, and of the rows
+    before in its own. So no key and no group is one task's, as long as the order tells rows apart; rows that are alike in it may take each other's place.
+    """
+    part = "__part"
+    placed = checkpointed(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    sums = placed.groupBy(part).agg(*[F.sum(v).alias(f"__{n}") for n, v in values.items()])
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(part, *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in values])
+    before = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({n: F.coalesce(F.sum(v).over(before), F.lit(0)) for n, v in values.items()}).join(F.broadcast(sums), part)
+    return placed.withColumns({n: F.col(n) + F.col(f"__{n}") for n in values}).drop(part, *[f"__{n}" for n in values])
