@@ -59,7 +59,13 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
 
 
+def join_few(many: DataFrame, few: DataFrame, on, how="inner", broadcast_rows=300_000, ready=False) -> DataFrame:
+    """many joined with few, which has one row for each key and is computed once (or has been: ready): broadcast up to broadcast_rows rows, beyond that shuffled. As nothing but the join is done
+    with the shuffled rows, adaptive execution can split a key that many rows have."""
+    few = few if ready else cut(few)
+    return many.join(F.broadcast(few) if few.count() <= broadcast_rows else few, on, how)
+
+
 def without(rows: DataFrame, gone: DataFrame, key: str, broadcast_rows=300_000) -> DataFrame:
     """rows whose key is not in gone. gone is computed once, and broadcast up to broadcast_rows rows; beyond that both sides are shuffled."""
-    gone = cut(gone.select(key).distinct())
-    return rows.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, key, "left_anti")
+    return join_few(rows, gone.select(key).distinct(), key, "left_anti", broadcast_rows)

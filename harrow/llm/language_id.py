@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.llm.common import cut, held_out, small_batches
+from harrow.llm.common import held_out, join_few, small_batches
 from harrow.llm.wordhash import batches
 
 DIM = 8192
@@ -20,13 +20,15 @@ FOLD = bytes((c | 32) if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 
 
 def ngram_counts(texts: list[bytes]) -> np.ndarray:
-    """(texts, DIM) counts of hashed 2- and 3-grams of bytes, over whole texts; runs of other characters count as a space each."""
-    buf = np.frombuffer(b" ".join(t.translate(FOLD) for t in texts) + b"   ", np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    """(texts, DIM) counts of hashed 2- and 3-grams of bytes, over whole texts; other characters count as a space each, and two spaces follow."""
+    buf = np.frombuffer(b"  ".join(t.translate(FOLD) for t in texts) + b"    ", np.uint8).astype(np.uint32)
+    sizes = np.array([len(t) + 2 for t in texts])
+    owner = np.repeat(np.arange(len(texts)), sizes)
     a, b, c = buf[:-2], buf[1:-1], buf[2:]
     n, owner = len(owner), owner * DIM
     letters = (a != 32) | (b != 32)
     letters[n:] = False
+    letters[np.cumsum(sizes) - 1] = False  # the space before the next text
     two = ((a << 8 | b) * np.uint32(2654435761)) >> np.uint32(19)
     three = ((a << 16 | b << 8 | c) * np.uint32(2246822519) + np.uint32(374761393)) >> np.uint32(19)
     at = np.flatnonzero(letters[:n])
@@ -70,18 +72,15 @@ def _has_letter(text):
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language=500, clusters=4, reject_share=0.002) -> Centroids:
-    """Learns from at most per_language texts of each language (those with the least hashes of their text), of rows that are not held out.
+    """Learns from at most per_language different texts of each language (those with the least hashes), of rows that are not held out.
 
-    Counts of languages run over all rows; only the sample's n-gram counts reach the driver. A centroid's rejection bound is the cosine that all but
+    Texts are told apart before they are ranked, so that copies take one place, and only the chosen ones are fetched; only the sample's n-gram counts reach the driver. A centroid's rejection bound is the cosine that all but
     reject_share of its own sample exceed, less a twentieth.
     """
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & _has_letter(text_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("body"), F.xxhash64(text_col).alias("h"))
-    # about four times what is kept, so that few texts are shuffled; what the hash leaves is cut exactly
-    share = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count(F.lit(1))).alias("share"))
-    share = cut(share)
-    rows = rows.join(F.broadcast(share) if share.count() <= BROADCAST_ROWS else share, "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "body"))
-    sample = rows.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "body")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").distinct().withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "h")
+    sample = join_few(rows, chosen, ["lang", "h"], broadcast_rows=BROADCAST_ROWS).groupBy("lang", "h").agg(F.min("body").alias("body")).select("lang", "body")
 
     def count(parts):
         for pdf in parts:
@@ -90,13 +89,13 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
                 c = ngram_counts(texts[a:b])
                 yield pd.DataFrame({"lang": pdf["lang"].iloc[a:b].to_numpy(), "at": [np.flatnonzero(x).astype(np.uint16).tobytes() for x in c], "n": [x[x > 0].astype(np.uint32).tobytes() for x in c]})
 
-    got = sample.mapInPandas(count, "lang string, at binary, n binary").toPandas()
+    got = sample.mapInPandas(count, "lang string, at binary, n binary").toPandas().sort_values(["lang", "at", "n"], ignore_index=True)  # the order in which tasks end must not matter
     counts = np.zeros((len(got), DIM), np.float32)
     for i, (at, n) in enumerate(zip(got["at"], got["n"])):
         counts[i, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
     languages = sorted(set(got["lang"]))
-    model = Centroids(languages, (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
-    v = model.weigh(counts)
+    fitted = Centroids(languages, (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
+    v = fitted.weigh(counts)
     lang = got["lang"].to_numpy()
     for i, name in enumerate(languages):
         mine = v[lang == name]
@@ -104,11 +103,11 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_
         cosine = mine @ c.T
         near = cosine.argmax(1)
         least = [max(0.0, float(np.quantile(cosine[near == j, j], reject_share)) - 0.05) if (near == j).any() else 0.0 for j in range(len(c))]
-        model.vectors, model.owner, model.least = np.vstack([model.vectors, c.astype(np.float32)]), np.r_[model.owner, [i] * len(c)], np.r_[model.least, least]
-    return model
+        fitted.vectors, fitted.owner, fitted.least = np.vstack([fitted.vectors, c.astype(np.float32)]), np.r_[fitted.owner, [i] * len(c)], np.r_[fitted.least, least]
+    return fitted
 
 
-def identify(docs: DataFrame, model: Centroids, id_col="doc_id", text_col="text", unknown="und") -> DataFrame:
+def identify(docs: DataFrame, fitted: Centroids, id_col="doc_id", text_col="text", unknown="und") -> DataFrame:
     """(doc_id, lang_pred, score, rejected): each whole text's nearest centroid by cosine, and whether it is farther off than the centroid's own texts.
 
     A null text, one without a letter, or any text if no language was learned gets `unknown` and score 0. A rejected text keeps its nearest language, with
@@ -116,7 +115,7 @@ def identify(docs: DataFrame, model: Centroids, id_col="doc_id", text_col="text"
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(_has_letter(text_col), F.col(text_col).cast("binary")).alias("body"))
-    m = model
+    m = fitted
 
     def predict(parts):
         for pdf in parts:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.common import cut, let
+from harrow.llm.common import cut, join_few, let
 
 
 def chunks(text: Column, divisor: int, with_text: bool) -> Column:
@@ -39,7 +39,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _later(found: DataFrame) -> DataFrame:
     """The rows (doc_id, rid, j, key, body, ...) whose body equals, byte for byte, that of the earliest row of their key."""
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "j", "body")).alias("first"))
-    return found.join(first, "key").where((F.col("body") == F.col("first.body")) & ~F.struct("doc_id", "rid", "j").eqNullSafe(F.struct("first.doc_id", "first.rid", "first.j")))
+    return join_few(found, first, "key", broadcast_rows=10_000).where((F.col("body") == F.col("first.body")) & ~F.struct("doc_id", "rid", "j").eqNullSafe(F.struct("first.doc_id", "first.rid", "first.j")))
 
 
 def _kept(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
@@ -69,8 +69,8 @@ def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divi
     """
     rows = _rows(docs, id_col, text_col)
     keys = rows.select("rid", F.explode(chunks(F.col("text"), divisor, False)).alias("c")).groupBy("c.key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    found = rows.select("doc_id", "rid", F.explode(chunks(F.col("text"), divisor, True)).alias("c")).select("doc_id", "rid", "c.*").join(keys, "key", "left_semi")
-    found = cut(found)
+    found = rows.select("doc_id", "rid", F.explode(chunks(F.col("text"), divisor, True)).alias("c")).select("doc_id", "rid", "c.*")
+    found = cut(join_few(found, keys, "key", "left_semi"))
     gone = _later(found).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("j", "n")).alias("gone"))
     return _kept(docs, gone, id_col, text_col, carry)
 
@@ -90,7 +90,7 @@ def drop_repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", carry:
     rows = _rows(docs, id_col, text_col)
     hashed = rows.select("doc_id", "rid", F.posexplode(let(F.split("text", "\n"), lambda lines: pairs(lines, lambda a, b: F.xxhash64(a, b)))).alias("j", "h"))
     twice = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
-    places = hashed.join(twice, "h", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set("j").alias("places"))
+    places = join_few(hashed, twice, "h", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set("j").alias("places"))
     both = rows.alias("a").join(places.alias("b"), (F.col("a.rid") == F.col("b.rid")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")))
     bodies = let(F.split("a.text", "\n"), lambda lines: F.transform("b.places", lambda j: F.struct(j.alias("j"), F.concat(F.get(lines, j), F.lit("\n"), F.get(lines, j + 1)).alias("body"))))
     found = cut(both.select("a.doc_id", "a.rid", F.explode(bodies).alias("c")).select("doc_id", "rid", "c.*").withColumn("key", F.md5("body")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from harrow.llm.common import cut, small_batches
 from harrow.llm.wordhash import U, Words, batches, mix, rolling
 
-#: A broadcast side has at most so many ids; more are shuffled.
+#: A broadcast side has at most so many rows of an id and a digest; more are shuffled.
 BROADCAST_ROWS = 300_000
 #: The rank axis is cut at LEAST_RANK and its doublings, the weight axis at 1 and its doublings.
 LEAST_RANK = 2.0**-14
@@ -118,25 +118,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k=5, least=0.8, bands=28, rows=5) -> DataFrame:
-    """(doc_id, class_id): class_id is the smallest id of the documents that links of weighted Jaccard similarity >= least connect.
+    """(doc_id, class_id, text_md5, class_md5, shingles) for each row: class_id and class_md5 name the first document, by id and digest, of those that links of weighted Jaccard similarity >= least connect.
 
     Elements are k-word shingles (words between ASCII white space, unchanged), weighted by how often a text has them. Equal texts are one
-    class from the start and one of them goes on. Signatures of bands * rows coordinates are banded: at a similarity of 0.8, 28 bands of 5 miss a
-    pair with a probability of 0.00002. In each bucket all members are compared with the bucket's smallest id, on all shingles. That gives classes. What is
-    left are pairs that share a bucket and not a class: they share the bucket's smallest id, and all members of that id's buckets that are not in its class are compared
+    node from the start. Signatures of bands * rows coordinates are banded: at a similarity of 0.8, 28 bands of 5 miss a
+    pair with a probability of 0.00002. In each bucket all nodes are compared with the bucket's smallest, its hub, on all shingles. That gives classes. What is
+    left are pairs that share a bucket and not a class: they share the bucket's hub, and all members of that hub's buckets that are not in its class are compared
     with all others there, on all shingles, in blocks that return links only. So no candidate is lost, and pairs inside a class are never compared or listed. That step's
     work is the product of a group's members outside the class and its members.
 
-    Null texts and texts without words are in classes of their own. Rows that repeat an id are one document: their texts are linked. A null id
-    takes no part and has a null class. No rows give no rows. Other columns are ignored.
+    Null texts and texts without words are in classes of their own, of their own id. Rows that repeat an id are classed each by its own text, rows that repeat id and text alike.
+    A null id comes last: a class whose ids are all null has a null class_id. No rows give no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    hashed = text.withColumn("h", F.md5("body"))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body")).withColumn("h", F.md5("body"))
 
     def sign(parts):
         for pdf in parts:
-            texts = list(pdf["body"])
+            texts = [b"" if t is None else t for t in pdf["body"]]
             for a, b in batches(texts, 1_000_000):
                 t, e, x = shingles(texts[a:b], k)
                 n = b - a
@@ -146,45 +145,43 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k=5, leas
                     key = mix(key * U(0xD1342543DE82EF95) + sig[:, :, i])
                 total = np.bincount(t, x, n).astype(np.int64)
                 keys = key.view(np.int64)
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].to_numpy(), "h": pdf["h"].iloc[a:b].to_numpy(), "total": total, "keys": [keys[i] if total[i] else keys[i][:0] for i in range(n)]})
-
-    id_type = text.schema["id"].dataType.simpleString()
-    signed = cut(hashed.mapInPandas(sign, f"id {id_type}, h string, total long, keys array<long>"))
-    nodes = cut(signed.where("total > 0").groupBy("h").agg(F.min("id").alias("node")))
-    reps = signed.join(nodes, "h").where("id = node").select("node", "total", F.explode("keys").alias("key"))
-    reps = reps.groupBy("key", "node").agg(F.max("total").alias("total"))
-    buckets = reps.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    placed = cut(reps.join(buckets, "key").select("key", "node", "hub", "total"))
-    tested, sets = _compare(text, placed.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), k)
-    # texts of one id, when rows repeat it, are linked as they are
-    edges = tested.where(F.col("s") >= least).select("a", "b")
-    copies = signed.where("total > 0").select("id", "h").join(nodes, "h").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    several = signed.groupBy("id").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y").select("id")
-    joined = copies.join(several, F.col("a") == F.col("id"), "left_semi")
-    edges = cut(edges.union(joined))
-    labels = cut(components(edges))
-    more = cut(_between_classes(placed.select("hub", "node", "total").distinct(), labels, sets, least))
+                yield pd.DataFrame({"id": pdf["id"].iloc[a:b], "h": pdf["h"].iloc[a:b], "total": total, "keys": [keys[i] if total[i] else keys[i][:0] for i in range(n)]})
+
+    signed = cut(text.mapInPandas(sign, f"id {text.schema['id'].dataType.simpleString()}, h string, total long, keys array<long>"))
+    texts = signed.where("total > 0").groupBy("h").agg(F.min("id").alias("least"), F.first("total").alias("total"), F.first("keys").alias("keys"))
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))
+    keyed = texts.select("node", "total", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    members = cut(keyed.join(buckets, "key").select("hub", "node", "total").distinct())
+    sets = _sets(text, texts.join(members.select("node").distinct(), "node").select("node", "h", "least"), k)
+    edges = cut(_compare(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), sets).where(F.col("s") >= least).select("a", "b"))
+    labels = components(edges)
+    more = cut(_between_classes(members, labels, sets, least))
     if not more.isEmpty():
         labels = components(edges.union(more))
-    own = signed.where("total > 0").select("id", "h").distinct().join(nodes, "h").join(labels.select(F.col("v").alias("node"), "label"), "node", "left")
-    own = own.groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
-    return docs.select(F.col(id_col).alias("doc_id")).join(own, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    own = texts.select("h", "node", "least").join(labels.withColumnRenamed("v", "node"), "node", "left").select("h", "least", F.coalesce("label", "node").alias("label"))
+    first = own.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h")).alias("first"))
+    classes = own.join(first, "label").select("h", F.col("first.least").alias("class_id"), F.col("first.h").alias("class_md5"))
+    rows_ = signed.select("id", "h", "total").join(classes, "h", "left")
+    return rows_.select(F.col("id").alias("doc_id"), F.when(F.col("class_md5").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.col("h").alias("text_md5"), F.coalesce("class_md5", "h").alias("class_md5"), F.col("total").alias("shingles"))
 
 
-def _between_classes(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float, block_size=200_000) -> DataFrame:
+def _between_classes(members: DataFrame, labels: DataFrame, sets: DataFrame, least: float, block_size=500_000) -> DataFrame:
     """Links (a, b) between classes among the members (hub, node, total) of each hub's buckets.
 
-    A stray is a member that is not in its hub's class. Strays are compared with all members of the same hub on all shingles. Members of a hub are hashed into blocks of about
-    block_size shingles; a pair of blocks is one task's group, which returns no more links than join its classes: at most one for each class.
+    A stray is a member that is not in its hub's class. Strays are compared with all members of the same hub on all shingles. Strays are hashed into blocks of about
+    block_size shingles of their own, all members into others; a pair of blocks is one task's group, which returns no more links than join its classes: at most one for each
+    class. A member is sent once for each block of strays, and a stray once for each block of members.
     """
-    named = members.join(labels.select(F.col("v").alias("node"), "label"), "node", "left").join(labels.select(F.col("v").alias("hub"), F.col("label").alias("hub_label")), "hub", "left")
-    named = named.select("hub", "node", "total", F.coalesce("label", "node").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label")).where("node <> hub")
-    groups = named.groupBy("hub").agg(F.ceil(F.sum("total") / block_size).cast("int").alias("blocks"), F.count_if(F.col("label") != F.col("hub_label")).alias("strays")).where("strays > 0")
-    named = cut(named.join(groups, "hub").withColumn("block", F.pmod(F.hash("node"), F.col("blocks"))))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    blobs = sets.withColumnRenamed("id", "node")
-    strays = named.where(F.col("label") != F.col("hub_label")).select("hub", F.col("block").alias("i"), every.alias("j"), "node", "label").join(blobs, "node")
-    others = named.select("hub", F.col("block").alias("j"), every.alias("i"), "node", "label").join(blobs, "node")
+    named = cut(members.join(labels.withColumnRenamed("v", "node"), "node", "left").select("hub", "node", "total", F.coalesce("label", "node").alias("label")))
+    by_class = named.groupBy("hub", "label").agg(F.sum("total").alias("t"), F.max(F.col("node") == F.col("hub")).alias("own"))
+    blocks = lambda total: F.ceil(F.sum(total) / block_size).cast("int")
+    groups = by_class.groupBy("hub").agg(F.min(F.when(F.col("own"), F.col("label"))).alias("hub_label"), blocks(F.when(~F.col("own"), F.col("t"))).alias("ni"), blocks("t").alias("nj")).where("ni > 0")
+    named = cut(named.join(groups, "hub").where("node <> hub"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    block = lambda n: F.pmod(F.hash("node"), n)
+    strays = named.where("label <> hub_label").select("hub", block(F.col("ni")).alias("i"), every(F.col("nj")).alias("j"), "node", "label").join(sets, "node")
+    others = named.select("hub", every(F.col("ni")).alias("i"), block(F.col("nj")).alias("j"), "node", "label").join(sets, "node")
     others = others.select(*[F.col(c).alias(c) for c in ("hub", "i", "j", "node", "label", "blob")])  # columns of their own
 
     def links(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -198,30 +195,36 @@ def _between_classes(members: DataFrame, labels: DataFrame, sets: DataFrame, lea
 
         if len(a) and len(b):
             each = [np.frombuffer(x, U).reshape(2, -1) for x in b["blob"]]
+            size = np.array([int(x[1].sum()) for x in each])
+            order = np.argsort(size, kind="stable")
+            each, size, classes, ids = [each[i] for i in order], size[order], b["label"].to_numpy()[order], b["node"].to_numpy()[order]
             known, local = np.unique(np.concatenate([x[0] for x in each]), return_inverse=True)
             count = np.concatenate([x[1] for x in each]).astype(np.int64)
-            starts = np.cumsum([0] + [x.shape[1] for x in each])[:-1]
-            totals, classes, ids = np.add.reduceat(count, starts), b["label"].to_numpy(), b["node"].to_numpy()
+            starts = np.cumsum([0] + [x.shape[1] for x in each])
             for node, label, blob in zip(a["node"], a["label"], a["blob"]):
                 h, n = np.frombuffer(blob, U).reshape(2, -1)
+                total = int(n.sum())
+                lo, hi = np.searchsorted(size, [least * total - 1, total / least + 1])  # others' sizes differ too much
+                if lo == hi:
+                    continue
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 mine = np.zeros(len(known), np.int64)
                 mine[at[known[at] == h]] = n[known[at] == h]
-                both = np.add.reduceat(np.minimum(mine[local], count), starts)
-                found = (both >= least * (int(n.sum()) + totals - both)) & (classes != label)
-                for of, first in zip(*np.unique(classes[found], return_index=True)):  # one link for each class that is not joined yet
+                p, q = starts[lo], starts[hi]
+                both = np.add.reduceat(np.minimum(mine[local[p:q]], count[p:q]), starts[lo:hi] - p)
+                found = (both >= least * (total + size[lo:hi] - both)) & (classes[lo:hi] != label)
+                for of, first in zip(*np.unique(classes[lo:hi][found], return_index=True)):  # one link for each class that is not joined yet
                     x, y = find(label), find(of)
                     if x != y:
                         root[x] = y
-                        out.append((node, ids[found][first]))
+                        out.append((node, ids[lo:hi][found][first]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    kind = members.schema["node"].dataType.simpleString()
-    return strays.groupBy("hub", "i", "j").cogroup(others.groupBy("hub", "i", "j")).applyInPandas(links, f"a {kind}, b {kind}")
+    return strays.groupBy("hub", "i", "j").cogroup(others.groupBy("hub", "i", "j")).applyInPandas(links, "a long, b long")
 
 
-def _compare(text: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) with their similarity s, shingles (id, blob) of the texts that occur in a pair)."""
+def _sets(text: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """(node, blob): the shingles, as (hash, count) columns, of the texts (id, body, h) that `needed` (node, h, least: id) names."""
     def blobs(parts):
         for pdf in parts:
             texts = list(pdf["body"])
@@ -229,16 +232,19 @@ def _compare(text: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, Data
                 t, h, x = shingles(texts[i:j], k)
                 stop = np.searchsorted(t, np.arange(1, j - i + 1))
                 begin = np.r_[0, stop[:-1]]
-                yield pd.DataFrame({"id": pdf["id"].iloc[i:j].to_numpy(), "blob": [h[p:q].tobytes() + x[p:q].astype(U).tobytes() for p, q in zip(begin, stop)]})
+                yield pd.DataFrame({"node": pdf["node"].iloc[i:j].to_numpy(), "blob": [h[p:q].tobytes() + x[p:q].astype(U).tobytes() for p, q in zip(begin, stop)]})
+
+    needed = cut(needed.withColumnRenamed("h", "of"))
+    few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    found = text.join(few, (F.col("h") == F.col("of")) & F.col("id").eqNullSafe(F.col("least"))).select("node", "body")
+    return cut(found.mapInPandas(blobs, "node long, blob binary").groupBy("node").agg(F.first("blob").alias("blob")))
 
+
+def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their similarity s."""
     def compare(parts):
         for pdf in parts:
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "s": [_similarity(x, y) for x, y in zip(pdf["x"], pdf["y"])]})
 
-    kind = text.schema["id"].dataType.simpleString()
-    pairs = cut(pairs)
-    needed = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    sets = cut(text.join(few, "id", "left_semi").mapInPandas(blobs, f"id {kind}, blob binary").groupBy("id").agg(F.max("blob").alias("blob")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("blob").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("blob").alias("y")), "b")
-    return cut(both.mapInPandas(compare, f"a {kind}, b {kind}, s double")), sets
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b")
+    return both.mapInPandas(compare, "a long, b long, s double")

@@ -13,7 +13,7 @@ from harrow.llm.minhash_dedup import near_duplicates
 from harrow.llm.mixing import mix_sources
 from harrow.llm.substring_dedup import drop_repeated_spans
 from harrow.llm.topk import as_integers, top_k
-from harrow.llm.warc import read_archive, write_archive
+from harrow.llm.warc import base32_of_sha1, read_archive, write_archive
 
 QUERIES, ORACLES = {}, {}
 
@@ -87,7 +87,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 def op8_warc_archive(spark, sf_dir):
     path = shared_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # a response's record ends with its payload and two line ends; the payload is taken from the rebuilt record, a revisit's from the store
+    found = read_archive(spark, path)
+    body = F.when(F.col("record_type") == "response", F.substring("record", F.length("header") + 1, F.length("record") - F.length("header") - 4)).otherwise(F.col("payload"))
+    return found.select("page_id", F.length(body).cast("long").alias("payload_bytes"), base32_of_sha1(F.sha1(body)).alias("payload_digest"), "record_type", "refers_to")
 
 
 ORACLES["op8_warc_archive"] = """

@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from harrow.llm.common import cut, text_bytes
+from harrow.functions.ranking import running
+from harrow.llm.common import cut, join_few, text_bytes
 from harrow.llm.wordhash import Words, batches
 
 #: A null id comes after all others.
@@ -33,14 +35,14 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _ids(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf["id"].fillna(NO_ID).to_numpy(np.int64) if pdf["id"].isna().any() else pdf["id"].to_numpy(np.int64)
+    return pdf["id"].to_numpy(np.int64)
 
 
 def _copies(pdf: pd.DataFrame, copied: pd.DataFrame) -> np.ndarray:
     """Which rows' texts a document with a smaller id has too. Ids that rows repeat with different texts are told apart by the text's md5."""
-    known = set(zip(copied["copy"].astype("int64"), copied["h"]))
-    some = {i for i, _ in known}
-    return np.array([i in some and b is not None and (i, hashlib.md5(b).hexdigest()) in known for i, b in zip(_ids(pdf).tolist(), pdf["body"])], bool)
+    known = set(copied["copy"])
+    some = {x.partition(":")[0] for x in known}
+    return np.array([str(i) in some and b is not None and f"{i}:{hashlib.md5(b).hexdigest()}" in known for i, b in zip(_ids(pdf).tolist(), pdf["body"])], bool)
 
 
 def _without(pdf: pd.DataFrame, copied: pd.DataFrame) -> pd.DataFrame:
@@ -63,18 +65,25 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
     anchors seen in two documents are found by hash, (3) windows around those anchors are extended to full width and hashed with 128 bits, (4)
     each such window gets the smallest id that holds it, (5) the documents with larger ids lose what it covers. Of equal texts only
     the one with the smallest id goes through this; the others lose all words if they have a window. Chunks are hashes of
-    the id, about chunk_bytes of text each; what a chunk sends of a hash is one value however often it occurs, so a passage or document
+    id and text, about chunk_bytes of text each; what a chunk sends of a hash is one value however often it occurs, so a passage or document
     that a third of the corpus repeats adds one value for each chunk. Windows are judged on the input, not on what is left.
 
     Result: (doc_id, n_words, n_removed, kept_text: the kept words joined by one space, removed: the removed word ranges as start, end, start, ...).
     Null texts have no words and an empty kept_text. Texts shorter than a window keep all. A null id counts as larger than all ids (the
-    largest long too). Rows that repeat an id are judged as one document for "smaller", each keeps its own row. No rows give no rows.
+    largest long too). Rows that repeat an id are judged as one document for "smaller", each keeps its own row. No rows give no rows; other columns are ignored.
+    Ids of any type that sorts and can be cast to text and back will do; those that are not whole numbers are numbered in their order first, and joined with the texts.
     """
     width = window - period + 1
     if width < 1 or {(a - b) % period for a in cover for b in cover} != set(range(period)):
         raise ValueError("the cover's differences must be all residues, and the period at most the window")
     n = max(1, -(-text_bytes(docs, text_col) // chunk_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("chunk"))
+    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("own"), F.col(text_col).cast("binary").alias("body"), F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).alias("chunk"))
+    if isinstance(kind, T.IntegralType):
+        rows = rows.withColumn("id", F.col("own").cast("long"))
+    else:
+        rows = join_few(rows, running(rows.select("own").where("own is not null").distinct(), ["own"], id=F.lit(1)), "own", "left")
+    rows = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), F.col("own").cast("string").alias("own"), "body", "chunk")
     covered = np.isin(np.arange(period), cover)
 
     def anchors(w: Words) -> np.ndarray:
@@ -166,7 +175,7 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
         out = []
         if len(pdf):
             texts, ids = _texts(pdf), _ids(pdf)
-            none = pdf["id"].isna().to_numpy()
+            own = [None if pd.isna(x) else x for x in pdf["own"]]
             copy = _copies(pdf, known[known["copy"].notna()])
             ha, hb, ho = (_join(known[c].dropna(), t) for c, t in (("v0", np.uint64), ("v1", np.uint64), ("v2", np.int64)))
             order = np.lexsort((hb, ha))
@@ -201,15 +210,15 @@ def drop_repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", windo
                     if g.any():
                         spans = np.flatnonzero(np.diff(np.r_[False, g, False].view(np.int8))).tolist()
                         words = [x for x, drop in zip(words, g.tolist()) if not drop]
-                    out.append((None if none[i + t] else int(ids[i + t]), len(g), len(g) - len(words), b" ".join(words), spans))
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "removed"]).astype({"doc_id": "Int64"})
+                    out.append((own[i + t], len(g), len(g) - len(words), b" ".join(words), spans))
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "removed"])
 
     texts_ = rows.where(F.col("body").isNotNull()).select("id", "chunk", F.md5("body").alias("h"))
-    first_ids = texts_.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1 and least is not null").select("h", "least")
-    copied = cut(texts_.join(first_ids, "h").where("id > least or id is null").select("chunk", F.coalesce("id", F.lit(NO_ID)).alias("copy"), "h").distinct())
+    first_ids = texts_.groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "least")
+    copied = cut(join_few(texts_, first_ids, "h").where("id > least").select("chunk", F.concat(F.col("id").cast("string"), F.lit(":"), "h").alias("copy")).distinct())
     found = rows.groupBy("chunk").cogroup(copied.groupBy("chunk")).applyInPandas(gather, "bucket long, chunk long, one binary, many binary")
     hot = found.groupBy("bucket").applyInPandas(repeated, "chunk long, v0 binary")
     spans = rows.groupBy("chunk").cogroup(hot.unionByName(copied, True).groupBy("chunk")).applyInPandas(extend, "bucket long, chunk long, a binary, b binary, least binary, several binary")
     known = spans.groupBy("bucket").applyInPandas(owners, "chunk long, v0 binary, v1 binary, v2 binary")
-    kept = rows.groupBy("chunk").cogroup(known.unionByName(copied, True).groupBy("chunk")).applyInPandas(remove, "doc_id long, n_words long, n_removed long, kept binary, removed array<int>")
-    return kept.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "removed")
+    kept = rows.groupBy("chunk").cogroup(known.unionByName(copied, True).groupBy("chunk")).applyInPandas(remove, "doc_id string, n_words long, n_removed long, kept binary, removed array<int>")
+    return kept.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "removed")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The base 32 alphabet, the line end and the profile of a revisit record.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -21,11 +23,16 @@ def base32_of_sha1(hex_digest: Column) -> Column:
 
 def _digested(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    return pages.select(F.col(id_col).alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", " ").alias("url"), payload.alias("payload")).withColumns({"sha256": F.sha2("payload", 256), "sha1": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
+    return pages.select(F.col(id_col).alias("page_id"), F.replace(F.replace(F.coalesce(F.col(url_col), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"), payload.alias("payload")).withColumns({"sha256": F.sha2("payload", 256), "sha1": F.sha1("payload"), "payload_bytes": F.length("payload").cast("long")})
 
 
 def record_uri(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
+    """The id in percent-encoding, so that it can be read back from the header; a null id has a name of its own."""
+    return F.coalesce(F.concat(F.lit("<urn:x-page:"), F.url_encode(page_id.cast("string")), F.lit(">")), F.lit("<urn:x-no-page:>"))
+
+
+def _named_page(field: str, kind: T.DataType) -> Column:
+    return F.url_decode(F.nullif(F.regexp_extract("header", rf"\r\n{field}: <urn:x-page:([^\r\n]*)>\r\n", 1), F.lit(""))).cast(kind)
 
 
 def write_archive(pages: DataFrame, path: str, id_col="page_id", url_col="url", payload_col="html", least_bytes=0, date="1970-01-01T00:00:00Z") -> None:
@@ -35,9 +42,9 @@ def write_archive(pages: DataFrame, path: str, id_col="page_id", url_col="url",
     are revisits that refer to it. Equal means: same length, SHA-1 and SHA-256. Copies are reduced to one before the shuffle, so a
     payload that a third of all pages share costs one row for each task. Headers carry digests, not payloads.
 
-    A null payload is empty; a null url is an empty target. A null id is larger than any other and, if all copies have null ids,
+    A null payload is empty; a null url is an empty target; line ends in a url are percent-encoded. A null id is larger than any other and, if all copies have null ids,
     each of them is a response; rows that repeat the smallest id with the same payload are all responses. No rows make an empty
-    archive. Other columns are ignored.
+    archive. Other columns are ignored. The header is all that is known of a record: it is read back from there.
     """
     rows = _digested(pages, id_col, url_col, payload_col)
     store = rows.groupBy("sha256", "sha1", "payload_bytes").agg(F.min("page_id").alias("owner"), F.first("payload").alias("payload"))
@@ -53,13 +60,13 @@ def write_archive(pages: DataFrame, path: str, id_col="page_id", url_col="url",
         F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), (F.length(http) + F.when(response, F.col("payload_bytes")).otherwise(0)).cast("string")),
     ]
     header = F.concat(F.concat_ws(EOL, *lines), F.lit(EOL * 2), http)
-    rows.select("page_id", "sha256", "payload_bytes", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    rows.select("sha256", "payload_bytes", header.alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 def export_warc(records: DataFrame, path: str) -> None:
-    """Writes records, as read_archive() gives them with payload, as WARC files: text parts whose line end is the two line ends after each record. Payloads must be UTF-8 text."""
-    body = F.when(F.col("record_type") == "response", F.col("payload").cast("string")).otherwise("")
-    records.select(F.concat("header", body).alias("value")).write.option("lineSep", EOL * 2).text(path)
+    """Writes records, as read_archive() gives them with payload, as WARC files: text parts whose line end is the two line ends after each record. Bytes are written as they are."""
+    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    records.select(F.concat(F.col("header").cast("binary"), body).cast("string").alias("value")).write.option("lineSep", EOL * 2).text(path)
 
 
 def read_archive(spark: SparkSession, path: str, with_payload=True) -> DataFrame:
@@ -76,9 +83,37 @@ def read_archive(spark: SparkSession, path: str, with_payload=True) -> DataFrame
     heads = spark.read.parquet(f"{path}/headers")
     kind = spark.read.parquet(f"{path}/payloads").schema["owner"].dataType
     records = heads.join(store, "sha256").select(
-        "page_id", field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), F.nullif(F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:x-page:([^\r\n]*)>\r\n", 1), F.lit("")).cast(kind).alias("refers_to"),
+        _named_page("WARC-Record-ID", kind).alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), _named_page("WARC-Refers-To", kind).alias("refers_to"),
         F.col("_stored").alias("payload_bytes"), "payload_digest", F.when(field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("header")).otherwise(F.raise_error(F.lit("a header differs from its payload"))).alias("header"), *(["payload"] if with_payload else []),
     )
     if not with_payload:
         return records
     return records.withColumn("record", F.concat(F.col("header").cast("binary"), F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b"")), F.lit(b"\r\n\r\n")))
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of uncompressed WARC files: (file, offset, header, content), header up to and with its empty line, content the Content-Length bytes after it.
+
+    A file is one task's, so files should be of the usual size, about a gigabyte at most. A record whose length does not lead to two line ends stops the job.
+    """
+    end = EOL.encode() * 2
+
+    def records(frames):
+        for pdf in frames:
+            for name, data in zip(pdf["path"], pdf["content"]):
+                at, out = 0, []
+                while at < len(data):
+                    stop = data.index(end, at) + len(end)
+                    head = data[at:stop]
+                    size = next(int(x[15:]) for x in head.split(EOL.encode()) if x[:15].lower() == b"content-length:")
+                    if data[stop + size:stop + size + len(end)] != end:
+                        raise ValueError(f"{name}: the record at {at} does not end where its length says")
+                    out.append((name, at, head.decode(), data[stop:stop + size]))
+                    at = stop + size + len(end)
+                    if len(out) == 100:
+                        yield pd.DataFrame(out, columns=["file", "offset", "header", "content"])
+                        out = []
+                yield pd.DataFrame(out, columns=["file", "offset", "header", "content"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("path", "content")
+    return files.mapInPandas(records, "file string, offset long, header string, content binary")

@@ -57,8 +57,8 @@ def test_stages(spark, tables, tmp_path):
         if name != "mixing":
             assert after.columns == columns and len({r.doc_id for r in rows}) == len(rows)
         if name == "quality":
-            model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-            good = {r.doc_id for r in quality.score(docs, model).collect() if r.score >= 0.7}
+            fitted = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+            good = {r.doc_id for r in quality.score(docs, fitted).collect() if r.score >= 0.7}
             assert {r.doc_id for r in rows} == good and not [i for i in good if i < 240 and i % 12 == 5] and len(good) >= 220
         if name == "line_dedup":
             for r in rows:
@@ -98,11 +98,18 @@ def test_stages_on_nulls_repeats_clashing_columns_and_nothing(spark, tables, tmp
     folder, _ = tables
     plain = spark.read.parquet(f"{folder}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "a b c d e f g", None, None, 13), (0, "twice " * 30, "en", "a", 180), (0, "twice " * 30, "en", "a", 180), (950, "word " * 30000, "en", "b", 150000)], plain.schema)
-    clash = {c: F.lit("x") for c in ("size", "key", "h", "rid", "chunk", "words", "score", "taken", "epoch", "class_id", "id", "body")}
+    clash = {c: F.lit("x") for c in ("size", "key", "h", "rid", "chunk", "words", "score", "taken", "epoch", "class_id", "id", "body", "__row", "row", "row_", "__mix_row", "__mix_n", "_before", "_key", "copy", "shingles", "first")}
     for name, docs in (("empty", plain.limit(0)), ("odd", plain.limit(60).union(odd).withColumns(clash))):
+        kept = Counter()
         for stage, f in corpus_pipeline.STAGES:
+            before = kept
             f(spark, docs, folder).write.parquet(str(tmp_path / name / stage))
             after = spark.read.parquet(str(tmp_path / name / stage))
             assert set(docs.columns) <= set(after.columns)
+            assert name == "empty" or {r["row"] for r in after.select("row").collect()} == {"x"} and {r["__mix_row"] for r in after.select("__mix_row").collect()} == {"x"}
+            if stage != "mixing":  # of rows that share an id or have none, those with texts of their own stay
+                kept = Counter((r.doc_id, r.text) for r in after.where("doc_id is null or doc_id = 0").collect() if r.text is None or r.text.startswith(("a b", "twice")))
+                assert kept[None, None] == before[None, None] or stage == "quality"
+                assert kept[0, "twice " * 30] <= (1 if stage in ("near_dedup", "decontamination") else 2)
             docs = after
         assert (docs.count() == 0) == (name == "empty")
