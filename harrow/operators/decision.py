@@ -127,6 +127,23 @@ def shorten(text: Column, limit=160) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(cut, r"[ ,.;:]+$", ""), F.lit("...")))
 
 
+def category_note(reason: Column, category: Column, confidence: Column, least=0.30) -> Column:
+    """What an abstained row may still say: its category, if that is sure and not healthy; a novel row says nothing."""
+    say = ~reason.isin("", "novel") & (category != "healthy") & (confidence >= least)
+    return F.when(say, F.concat(F.lit("treat as a "), category, F.lit(" problem"))).otherwise("")
+
+
+def gated_heads(category: Column, severity: Column, life_stage: Column) -> tuple[Column, Column]:
+    """The severity only for what can be acted on, the life stage only for pests; else null."""
+    return F.when(category.isin(*ACTIONABLE), severity), F.when(category == "pest", life_stage)
+
+
+def closest_note(names: list[Column], probabilities: list[Column]) -> Column:
+    """The candidates of an uncertain row, best first, with their probabilities in percent; a missing candidate is left out."""
+    each = [F.when(n.isNotNull() & p.isNotNull(), F.format_string("%s (%d%%)", n, F.round(p * 100).cast("int"))) for n, p in zip(names, probabilities)]
+    return F.concat(F.lit("Closest matches: "), F.concat_ws(", ", *each), F.lit("."))
+
+
 def spoken(headline: Column, phrase: Column, message: Column) -> Column:
     """Up to three different lines: headline, first constraint phrase, first sentence."""
     first = F.concat(F.trim(F.split_part(message, F.lit("."), F.lit(1))), F.lit("."))

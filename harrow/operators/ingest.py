@@ -120,8 +120,9 @@ def dataset_root(paths: DataFrame, most=4) -> DataFrame:
 def without_split_layer(paths: DataFrame) -> DataFrame:
     """Paths without their first folder where all first folders of a root are split names."""
     first = F.split_part("path", F.lit("/"), F.lit(1))
-    every = F.bool_and(F.lower(first).isin(*X.SPLIT_DIRS)).over(Window.partitionBy("root"))
-    return paths.withColumn("path", F.when(every, F.regexp_replace("path", r"^[^/]*/", "")).otherwise(F.col("path")))
+    roots = paths.groupBy("root").agg(F.bool_and(F.lower(first).isin(*X.SPLIT_DIRS)).alias("_every"))
+    out = paths.join(roots.withColumnRenamed("root", "_root"), F.col("root").eqNullSafe(F.col("_root")))
+    return out.withColumn("path", F.when(F.col("_every"), F.regexp_replace("path", r"^[^/]*/", "")).otherwise(F.col("path"))).select(*paths.columns)
 
 
 def by_map(rows: DataFrame, mapped: DataFrame, excluded: DataFrame, names_of: DataFrame, label="label") -> DataFrame:

@@ -143,7 +143,7 @@ def masked_accuracy(rows: DataFrame, pred: str, y: str) -> DataFrame:
 
 
 def agreement(a: DataFrame, b: DataFrame, key: str, sure=0.5, least=0.95, drift=0.05) -> DataFrame:
-    """Two models' probabilities (key, p): agreement of the best class where A is sure (1 if it never is), mean and largest difference, and whether that is close enough."""
+    """Two classifiers' probabilities (key, p): agreement of the best class where A is sure (1 if it never is), mean and largest difference, and whether that is close enough."""
     both = a.select(key, F.col("p").alias("a")).join(b.select(key, F.col("p").alias("b")), key)
     d = F.zip_with("a", "b", lambda x, y: F.abs(x - y))
     best = lambda p: F.get(ranked(p), F.lit(0))["i"]
@@ -152,6 +152,32 @@ def agreement(a: DataFrame, b: DataFrame, key: str, sure=0.5, least=0.95, drift=
     return rows.select(F.coalesce("g", F.lit(1.0)).alias("agreement"), "confident", "mean_drift", "max_drift").withColumn("ok", (F.col("agreement") >= least) & (F.col("mean_drift") < drift))
 
 
+def audit(predicted: DataFrame, *keys: str) -> DataFrame:
+    """Of predictions (keys, y, pred, p1, pred2, p2): confidences to four places, and whether the prediction is right; least sure first."""
+    return predicted.orderBy("p1", *keys).select(*keys, "y", "pred", F.round("p1", 4).alias("confidence"), (F.col("pred") == F.col("y")).alias("correct"), "pred2", F.round("p2", 4).alias("confidence2"))
+
+
+def evaluation(predicted: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """One row: label and category report, calibration, cross-category rate and operating point of predictions over n classes (class_idx, category from 0)."""
+    category = classes.select(F.col("class_idx").alias("_c"), F.col("category").alias("_k"))
+    in_category = predicted
+    for c in ("y", "pred"):  # the dimension has one row a class
+        in_category = in_category.join(category, F.col(c) == F.col("_c")).withColumn(c, F.col("_k")).drop("_c", "_k")
+    kinds = category.select(F.col("_k").alias("class_idx"), F.col("_k").alias("category"), F.concat(F.lit("k"), "_k").alias("class_id")).distinct()
+    cm = confusion(predicted, n)
+    parts = [report_summary(class_report(cm, classes)), calibration_error(predicted), cross_category_rate(cm, classes), select_threshold(selective_risk(predicted)), report_summary(class_report(confusion(in_category, n), kinds)).select(F.col("accuracy").alias("category_accuracy"))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.crossJoin(F.broadcast(x))  # one row each
+    return out
+
+
+def retune(scored: DataFrame) -> DataFrame:
+    """One row: the temperature of least loss and the operating point at it."""
+    t = fit_temperature(scored)
+    return select_threshold(selective_risk(predict(scored, t))).withColumn("temperature", F.lit(t))
+
+
 def contract_checks(scored: DataFrame, dim: DataFrame, temperature: float, least: float) -> DataFrame:
     """(check, ok) of what would mislabel predictions without an error."""
     d = dim.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("class_id").alias("ids"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.ranking import quantiles
 from harrow.functions.storage import checkpointed
 
 
@@ -126,8 +127,8 @@ def spread(rows: DataFrame, least=1e-5) -> DataFrame:
 
 
 def calibrate(scored: DataFrame, q=0.975) -> DataFrame:
-    """(threshold, median, reject_rate) of in-distribution scores: an exact percentile."""
-    t = scored.agg(F.percentile("score", F.lit(q)).alias("threshold"), F.percentile("score", F.lit(0.5)).alias("median"))
+    """(threshold, median, reject_rate) of in-distribution scores: exact quantiles."""
+    t = quantiles(scored.select(F.lit("all").alias("name"), F.col("score").alias("x")), {"threshold": q, "median": 0.5}).select("threshold", "median")
     return scored.crossJoin(F.broadcast(t)).groupBy("threshold", "median").agg(F.avg((F.col("score") > F.col("threshold")).cast("double")).alias("reject_rate"))
 
 
@@ -138,5 +139,25 @@ def judge(scored: DataFrame, threshold: float | None) -> DataFrame:
     return scored.withColumns({"is_novel": F.col("score") > threshold, "novelty_ratio": F.col("score") / threshold})
 
 
-def verdict(noise_reject: float, in_reject: float) -> str:
-    return "weak" if noise_reject < 0.5 or in_reject > 0.15 else "separates"
+def verdict(noise_reject: Column, in_reject: Column) -> Column:
+    return F.when((noise_reject < 0.5) | (in_reject > 0.15), "weak").otherwise("separates")
+
+
+def refit(rows: DataFrame, key: str, seed=17) -> DataFrame:
+    """The detector fitted again for each version of a classifier: (version, classes, n, enough, shrinkage, threshold, in_reject, noise_reject, verdict).
+
+    rows (version, key, label, embedding) hold each version's embeddings, whose lengths may differ. Versions are few and are fitted one after the other, each over all its rows. enough says whether a version
+    has at least two rows for each of its classes; without that its covariance says little. noise_reject is the share of normal noise of the same length that is called novel.
+    """
+    out = None
+    for version in [r.version for r in rows.select("version").distinct().orderBy("version").collect()]:
+        mine = rows.where(F.col("version").eqNullSafe(F.lit(version))).drop("version")
+        means, inverse, intensity = fit(mine)
+        cal = calibrate(checkpointed(mahalanobis(mine, means, inverse, key))).first()
+        noise = mine.select(key, F.transform("embedding", lambda x: (x * 0 + F.randn(seed)).cast("float")).alias("embedding"))
+        rejected = judge(mahalanobis(noise, means, inverse, key), cal.threshold).agg(F.avg(F.col("is_novel").cast("double")).alias("noise_reject"))
+        size = mine.agg(F.count_distinct("label").alias("classes"), F.count(F.lit(1)).alias("n"))
+        row = size.crossJoin(F.broadcast(rejected))  # one row each
+        row = row.select(F.lit(version).alias("version"), "classes", "n", (F.col("n") >= 2 * F.col("classes")).alias("enough"), F.lit(intensity).alias("shrinkage"), F.lit(cal.threshold).alias("threshold"), F.lit(cal.reject_rate).alias("in_reject"), "noise_reject")
+        out = row if out is None else out.union(row)
+    return out.withColumn("verdict", verdict(F.col("noise_reject"), F.col("in_reject")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.ranking import quantiles, running
+
 
 def class_counts(records: DataFrame) -> DataFrame:
     return records.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
@@ -22,10 +24,11 @@ def balance(records: DataFrame) -> DataFrame:
 
 
 def gini(counts: DataFrame, n="n") -> DataFrame:
-    """Gini coefficient of counts, which are few rows: one for each class."""
-    ranked = counts.select(F.col(n).cast("double").alias("x"), F.row_number().over(Window.orderBy(n)).alias("i"))
-    m = F.count(F.lit(1))
-    return ranked.agg((2 * F.sum(F.col("i") * F.col("x")) / (m * F.sum("x")) - (m + 1) / m).alias("gini"))
+    """Gini coefficient of counts. Equal counts are grouped first; their ranks follow from how many counts are smaller."""
+    groups = running(counts.groupBy(F.col(n).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c")), ["x"], before=F.col("c"))
+    ranks = F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2
+    m, total = F.sum("c"), F.sum(F.col("c") * F.col("x"))
+    return groups.agg((2 * F.sum(ranks * F.col("x")) / (m * total) - (m + 1) / m).alias("gini"))
 
 
 def below(records: DataFrame, train=60, evaluation=30) -> DataFrame:
@@ -35,8 +38,8 @@ def below(records: DataFrame, train=60, evaluation=30) -> DataFrame:
 
 def top_bottom(counts: DataFrame, k=10) -> DataFrame:
     """The k largest and k smallest classes, ties by id."""
-    up, down = F.row_number().over(Window.orderBy(F.desc("n"), "class_id")), F.row_number().over(Window.orderBy("n", "class_id"))
-    return counts.withColumns({"top": up, "bottom": down}).where((F.col("top") <= k) | (F.col("bottom") <= k))
+    ranked = running(running(counts, [F.desc("n"), "class_id"], top=F.lit(1)), ["n", "class_id"], bottom=F.lit(1))
+    return ranked.where((F.col("top") < k) | (F.col("bottom") < k)).withColumns({c: (F.col(c) + 1).cast("int") for c in ("top", "bottom")})
 
 
 def coverage(records: DataFrame, classes: DataFrame) -> DataFrame:
@@ -57,9 +60,11 @@ def label_fractions(records: DataFrame) -> DataFrame:
 
 
 def percentiles(facts: DataFrame, columns: dict, at=(0.05, 0.5, 0.95), approximate=False) -> DataFrame:
-    """(name, p05, p50, p95) of each expression over readable rows; linear interpolation, or approximate on request."""
-    p = F.percentile_approx if approximate else F.percentile
-    good = facts.where("ok").agg(*[p(e, F.array(*[F.lit(q) for q in at])).alias(k) for k, e in columns.items()])
+    """(name, p05, p50, p95) of each expression over readable rows; exact with linear interpolation, or approximate on request."""
+    if not approximate:
+        named = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), e.cast("double").alias("x")) for k, e in columns.items()]))
+        return quantiles(facts.where("ok").select(named.alias("v")).select("v.*"), {f"p{round(q * 100):02d}": q for q in at}).drop("n")
+    good = facts.where("ok").agg(*[F.percentile_approx(e, F.array(*[F.lit(q) for q in at])).alias(k) for k, e in columns.items()])
     return good.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), *[F.get(k, F.lit(i)).cast("double").alias(f"p{round(q * 100):02d}") for i, q in enumerate(at)]) for k in columns])).alias("x")).select("x.*")
 
 
@@ -70,7 +75,8 @@ def shares(facts: DataFrame, side=224) -> DataFrame:
 
 
 def group_sizes(records: DataFrame) -> DataFrame:
-    return records.groupBy("group_key").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("groups"), F.percentile("n", F.lit(0.95)).alias("p95"))
+    sizes = records.groupBy("group_key").agg(F.count(F.lit(1)).alias("x")).select(F.lit("all").alias("name"), "x")
+    return quantiles(sizes, {"p95": 0.95}).select(F.col("n").alias("groups"), "p95")
 
 
 def recommend(profile: DataFrame) -> DataFrame:

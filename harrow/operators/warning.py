@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.ranking import running
 from harrow.operators.decision import ACTIONABLE, FLAGS, advise, bump, display_name, level_name, rank
 
 KEY = ("field_id", "zone", "class_id")
@@ -96,13 +97,13 @@ def alerts(detections: DataFrame, classes: DataFrame, now: str, days=14.0, least
 def infection_runs(weather: DataFrame, rules: DataFrame) -> DataFrame:
     """The longest run of favourable readings of each field and rule, the wet hours over all readings, and the span of the readings.
 
-    Readings are numbered once for each field; a run is what has the same difference between that number and the number among favourable ones.
+    Readings are numbered by field and time over ranges, so that a field's history is many tasks'; a run is what has the same difference between that number and the number among favourable ones.
     """
-    numbered = weather.withColumn("i", F.row_number().over(Window.partitionBy("field_id").orderBy("ts", "event_id")))
+    numbered = running(weather.select("field_id", "ts", "event_id", "temp_c", "humidity_pct"), ["field_id", "ts", "event_id"], i=F.lit(1))
     spans = weather.groupBy("field_id").agg(F.sum("leaf_wetness_hours").alias("wet_hours"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     good = numbered.join(F.broadcast(rules), F.col("temp_c").between(F.col("t_lo"), F.col("t_hi")) & (F.col("humidity_pct") >= F.col("least_humidity")))
     of = ("field_id", "rule_class")
-    good = good.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy(*of).orderBy("i")))
+    good = running(good.select(*of, "i"), [*of, "i"], j=F.lit(1)).withColumn("run", F.col("i") - F.col("j"))
     best = good.groupBy(*of, "run").agg(F.count(F.lit(1)).alias("n")).groupBy(*of).agg(F.max("n").alias("best_run"))
     return spans.crossJoin(F.broadcast(rules)).join(best, list(of), "left").withColumn("best_run", F.coalesce("best_run", F.lit(0).cast("long")))
 

@@ -41,7 +41,7 @@ _vote = lambda j, b: f"sum(CASE WHEN t{j} & {1 << b} <> 0 THEN 1 ELSE -1 END)"
 SIM = "tok AS (SELECT CAST(doc_id AS STRING) AS path, md5(unnest(string_split(text, ' '))) AS m FROM documents), tk AS (SELECT path, " + ", ".join(f"('0x' || substr(m, {4 * j + 1}, 4))::INT AS t{j}" for j in range(4)) + " FROM tok), sim AS (SELECT path, " + ", ".join("(" + " + ".join(f"CASE WHEN {_vote(j, b)} > 0 THEN {1 << b} ELSE 0 END" for b in range(16)) + f")::INT AS h{j}" for j in range(4)) + " FROM tk GROUP BY 1)"
 BASE = "base AS (SELECT r.*, f.* EXCLUDE (path, class_id), CASE WHEN NOT f.ok THEN 'unreadable' WHEN least(width, height) < 20 THEN 'too_small' WHEN greatest(width, height) / greatest(least(width, height), 1) > 72e-1 THEN 'extreme_aspect' WHEN f.std < 12 THEN 'blank' END AS defect FROM records r LEFT JOIN facts f USING (path))"
 EXACT = "fine AS (SELECT *, first_value(path) OVER w AS first_path, first_value(class_id) OVER w AS first_class FROM base WHERE defect IS NULL WINDOW w AS (PARTITION BY content_hash ORDER BY source_rank, path)), dup AS (SELECT *, CASE WHEN path = first_path THEN NULL WHEN class_id = first_class THEN 'exact_duplicate' ELSE 'cross_label_duplicate' END AS duplicate FROM fine)"
-PAIRS = "lf AS (SELECT d.path, d.class_id, sharpness, width * height AS area, h0, h1, h2, h3 FROM dup d JOIN sim USING (path) WHERE duplicate IS NULL), bands AS (SELECT path, h0, h1, h2, h3, unnest([0, 1, 2, 3]) AS band, unnest([h0, h1, h2, h3]) AS v FROM lf), ok AS (SELECT band, v FROM bands GROUP BY ALL HAVING count(*) BETWEEN 2 AND 2000), bb AS (SELECT bands.* FROM bands JOIN ok USING (band, v)), pairs AS (SELECT DISTINCT a.path AS a, b.path AS b, (bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) + bit_count(xor(a.h2, b.h2)) + bit_count(xor(a.h3, b.h3)))::INT AS distance FROM bb a JOIN bb b USING (band, v) WHERE a.path < b.path AND bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) + bit_count(xor(a.h2, b.h2)) + bit_count(xor(a.h3, b.h3)) <= 4)"
+PAIRS = "lf AS (SELECT d.path, d.class_id, sharpness, width * height AS area, h0, h1, h2, h3 FROM dup d JOIN sim USING (path) WHERE duplicate IS NULL), bands AS (SELECT path, h0, h1, h2, h3, unnest([0, 1, 2, 3]) AS band, unnest([h0, h1, h2, h3]) AS v FROM lf), ok AS (SELECT band, v FROM bands GROUP BY ALL HAVING count(*) >= 2), bb AS (SELECT bands.* FROM bands JOIN ok USING (band, v)), pairs AS (SELECT DISTINCT a.path AS a, b.path AS b, (bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) + bit_count(xor(a.h2, b.h2)) + bit_count(xor(a.h3, b.h3)))::INT AS distance FROM bb a JOIN bb b USING (band, v) WHERE a.path < b.path AND bit_count(xor(a.h0, b.h0)) + bit_count(xor(a.h1, b.h1)) + bit_count(xor(a.h2, b.h2)) + bit_count(xor(a.h3, b.h3)) <= 4)"
 REACH = "edges AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(s, t) AS (SELECT a, a FROM edges UNION SELECT r.s, e.b FROM reach r JOIN edges e ON r.t = e.a), comp AS (SELECT s AS path, min(t) AS component FROM reach GROUP BY 1)"
 NEAR = "cj AS (SELECT lf.*, component FROM lf JOIN comp USING (path)), win AS (SELECT component, count(DISTINCT class_id) AS classes FROM cj GROUP BY 1), rk AS (SELECT cj.*, classes, row_number() OVER (PARTITION BY component ORDER BY sharpness DESC, area DESC, path) AS r FROM cj JOIN win USING (component)), near AS (SELECT path, component, CASE WHEN classes > 1 THEN 'cross_label_duplicate' WHEN r > 1 THEN 'near_duplicate' END AS near_reason FROM rk)"
 CLEANED = "cleaned AS (SELECT b.path, b.class_id, coalesce(b.defect, d.duplicate, n.near_reason) AS reason FROM base b LEFT JOIN dup d USING (path) LEFT JOIN near n USING (path))"
@@ -172,18 +172,18 @@ def leaked_groups(spark, sf_dir):
     return S.leaked_groups(split_rows(spark, sf_dir))
 
 
-COARSE = ", coarse AS (SELECT * REPLACE (CASE WHEN class_id IN ('src1', 'src2') THEN severity ELSE group_key END AS group_key) FROM split_rows)"
+COARSE = ", coarse AS (SELECT * REPLACE (CASE WHEN class_id IN ('src1', 'src2') THEN nullif(severity, 'unknown') ELSE group_key END AS group_key) FROM split_rows)"
 
 
-@query(WITH_SPLIT + COARSE + " SELECT class_id, count(DISTINCT group_key)::BIGINT AS groups, count(*)::BIGINT AS n FROM coarse GROUP BY 1 HAVING count(DISTINCT group_key) < 4 AND count(*) >= 3")
+@query(WITH_SPLIT + COARSE + " SELECT class_id, count(DISTINCT group_key)::BIGINT AS groups, count(*)::BIGINT AS n FROM coarse GROUP BY 1 HAVING count(DISTINCT group_key) < 3 AND count(*) >= 3")
 def degenerate_grouping(spark, sf_dir):
     rows = split_rows(spark, sf_dir).withColumn("group_key", F.when(F.col("class_id").isin("src1", "src2"), F.nullif("severity", F.lit("unknown"))).otherwise(F.col("group_key")))
-    return S.degenerate_grouping(rows).withColumn("groups", F.col("groups") + 1)
+    return S.degenerate_grouping(rows)
 
 
-@query(WITH_SPLIT + "SELECT class_id, false AS no_val, true AS no_test FROM split_rows WHERE NOT (class_id = 'src3' AND split = 'test') GROUP BY 1 HAVING count(*) FILTER (WHERE split = 'test') = 0")
+@query(WITH_SPLIT + "SELECT class_id, count(*) FILTER (WHERE split = 'val') = 0 AS no_val, count(*) FILTER (WHERE split = 'test') = 0 AS no_test FROM split_rows WHERE NOT (class_id = 'src3' AND split = 'test') AND NOT (class_id = 'src2' AND split = 'val') GROUP BY 1 HAVING count(*) FILTER (WHERE split = 'val') = 0 OR count(*) FILTER (WHERE split = 'test') = 0")
 def missing_split(spark, sf_dir):
-    return S.missing_split(split_rows(spark, sf_dir).where("NOT (class_id = 'src3' AND split = 'test')"))
+    return S.missing_split(split_rows(spark, sf_dir).where("NOT (class_id = 'src3' AND split = 'test') AND NOT (class_id = 'src2' AND split = 'val')"))
 
 
 @query(WITH_SPLIT + "SELECT severity, life_stage, source, split, count(*)::BIGINT AS n FROM split_rows GROUP BY GROUPING SETS ((severity), (life_stage), (source), (split))")
@@ -213,12 +213,12 @@ def dataset_fingerprint(spark, sf_dir):
     return S.fingerprint(records(spark, sf_dir))
 
 
-@query("SELECT 'a' AS corpus, 0 AS place, CAST(doc_id AS STRING) AS path, source AS class_id FROM documents WHERE lang = 'en' UNION ALL SELECT 'b', 1, url, CAST(NULL AS STRING) FROM pages UNION ALL SELECT 'c', 2, CAST(item_id AS STRING), CAST(NULL AS STRING) FROM benchmark")
+@query("SELECT 'a' AS corpus, 0 AS place, CAST(doc_id AS STRING) AS path, source AS class_id FROM documents UNION ALL SELECT 'b', 1, url, CAST(NULL AS STRING) FROM pages UNION ALL SELECT 'c', 2, CAST(item_id AS STRING), CAST(NULL AS STRING) FROM benchmark")
 def multi_source_union(spark, sf_dir):
     from harrow.sources.manifests import union_sources
 
     return union_sources({
-        "a": table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("class_id")),
+        "a": table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("class_id")),
         "b": table(spark, sf_dir, "pages").select(F.col("url").alias("path")), "c": table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path")),
     }).select("corpus", "place", "path", "class_id")
 

@@ -170,10 +170,10 @@ def name_heuristic(spark, sf_dir):
     return p.select("p_partkey", X.looks_like_condition(name).alias("condition"))
 
 
-@query("WITH d AS (SELECT doc_id, substr(text, 1, 20) || (['', ' larvae', '_Adult x', ' eggs', ' Nymph', ' grubby'])[1 + doc_id % 6] AS n FROM documents) SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'larva' WHEN 2 THEN 'adult' WHEN 4 THEN 'nymph' ELSE 'unknown' END AS stage FROM d")
+@query("WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text || (['', ' larvae', '_Adult x', ' eggs', ' Nymph', ' grubby'])[1 + doc_id % 6]), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ' AS n FROM documents) SELECT doc_id, CASE " + " ".join(f"WHEN contains(n, ' {token} ') THEN '{stage}'" for token, stage in X.STAGES.items()) + " ELSE 'unknown' END AS stage FROM d")
 def stage_parse(spark, sf_dir):
     ends = F.array(*[F.lit(x) for x in ("", " larvae", "_Adult x", " eggs", " Nymph", " grubby")])
-    return table(spark, sf_dir, "documents").select("doc_id", X.life_stage(F.concat(F.substring("text", 1, 20), F.get(ends, (F.col("doc_id") % 6).cast("int")))).alias("stage"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.life_stage(F.concat("text", F.get(ends, (F.col("doc_id") % 6).cast("int")))).alias("stage"))
 
 
 GROUP_PATH = "regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') || (['_aug1.jpg', '_rot90.jpg', '.jpg', '__sev-low_copy2.png'])[1 + page_id % 4]"
@@ -232,9 +232,9 @@ def dim_subset(spark, sf_dir):
     return chosen.join(parts(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("parts")), "label", "left").select("place", "class_id", "name", "category", F.coalesce("parts", F.lit(0).cast("long")).alias("parts"))
 
 
-@query(sql("source_classes") + "SELECT class_idx, class_id, name, category FROM source_classes WHERE class_id IN (SELECT source FROM documents WHERE lang = 'es')")
+@query(sql("source_classes") + "SELECT class_idx, class_id, name, category FROM source_classes WHERE class_id IN (SELECT source FROM documents)")
 def classes_present(spark, sf_dir):
-    return source_classes(spark).join(table(spark, sf_dir, "documents").where("lang = 'es'").select(F.col("source").alias("class_id")), "class_id", "left_semi").select("class_idx", "class_id", "name", "category")
+    return source_classes(spark).join(table(spark, sf_dir, "documents").select(F.col("source").alias("class_id")), "class_id", "left_semi").select("class_idx", "class_id", "name", "category")
 
 
 @query(sql("source_classes") + "SELECT source AS class_id, count(*)::BIGINT AS n FROM documents WHERE source NOT IN (SELECT class_id FROM source_classes) GROUP BY 1")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from harrow.functions.storage import checkpointed
+from harrow.functions.storage import checkpointed, shared_path
 from harrow.operators import decision as D
 from harrow.operators import metrics as M
 from harrow.operators import novelty as N
 from harrow.plans.registry import query
 from harrow.plans.views import table, view
+from harrow.sources.manifests import write_policy
 
 T = 0.05
 K = 10
@@ -149,15 +150,16 @@ def masked_accuracy(spark, sf_dir):
 
 @query(W + "SELECT vec_id, y, pred, round(p1, 4) AS confidence, pred = y AS correct, pred2, round(p2, 4) AS confidence2 FROM pd")
 def prediction_audit(spark, sf_dir):
-    return predictions(spark, sf_dir).orderBy("p1", "vec_id").select("vec_id", "y", "pred", F.round("p1", 4).alias("confidence"), (F.col("pred") == F.col("y")).alias("correct"), "pred2", F.round("p2", 4).alias("confidence2"))
+    return M.audit(predictions(spark, sf_dir), "vec_id")
 
 
 def _even(e):
     return e.withColumn("embedding", F.filter("embedding", lambda x, i: i % 2 == 0))
 
 
-PRED_B = PRED.replace("FROM embeddings", "FROM evens").replace("cells", "cells_b").replace("cm AS", "cm_b AS").replace("FROM cm", "FROM cm_b").replace("cen AS", "cen_b AS").replace("FROM cen", "FROM cen_b").replace("one AS", "one_b AS").replace(", one)", ", one_b)").replace("sc AS", "sc_b AS").replace("FROM sc", "FROM sc_b").replace("ex AS", "ex_b AS").replace("FROM ex", "FROM ex_b").replace("pr AS", "pr_b AS")
-PRED_B = PRED_B[: PRED_B.index(", fl AS")]
+PRED_B = "cells_b AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM evens), cm_b AS (SELECT label, i, avg(x) AS m FROM cells_b GROUP BY ALL), cen_b AS (SELECT label, list(m ORDER BY i) AS mean FROM cm_b GROUP BY 1), one_b AS (SELECT list(mean ORDER BY label) AS means FROM cen_b), " \
+    "sc_b AS (SELECT vec_id, label AS y, list_transform(means, lambda m: -list_sum(list_transform(range(1, len(m) + 1), lambda i: (embedding[i]::DOUBLE - m[i]) * (embedding[i]::DOUBLE - m[i])))) AS scores FROM evens, one_b), " \
+    f"ex_b AS (SELECT vec_id, list_transform(scores, lambda s: exp((s - list_max(scores)) / {T})) AS e FROM sc_b), pr_b AS (SELECT vec_id, list_transform(e, lambda x: x / list_sum(e)) AS p FROM ex_b)"
 
 
 @query(W + ", evens AS (SELECT vec_id, label, list_transform(range(1, len(embedding) + 1, 2), lambda i: embedding[i]) AS embedding FROM embeddings), " + PRED_B + """, ab AS (SELECT a.p AS a, b.p AS b, list_transform(range(1, 11), lambda i: abs(a.p[i] - b.p[i])) AS d FROM pr a JOIN pr_b b USING (vec_id))
@@ -171,12 +173,10 @@ def score_agreement(spark, sf_dir):
 
 @query()
 def policy_row(spark, sf_dir):
-    s = checkpointed(scored(spark, sf_dir))
-    t = M.fit_temperature(s)
-    return M.select_threshold(M.selective_risk(M.predict(s, t))).withColumn("temperature", F.lit(t))
+    return write_policy(M.retune(checkpointed(scored(spark, sf_dir))), shared_path(spark, "policy"))
 
 
-@query("SELECT unnest(['has classes', 'ids differ', 'width fits', 'temperature plausible', 'threshold plausible']) AS \"check\", unnest([true, true, (SELECT count(DISTINCT label) = 10 FROM embeddings), true, true]) AS ok")
+@query("WITH " + SCORES + f", d AS (SELECT 'c' || i AS class_id FROM range({K}) r(i)), p AS (SELECT {T} AS temperature, 0.3 AS least) " + "SELECT unnest(['has classes', 'ids differ', 'width fits', 'temperature plausible', 'threshold plausible']) AS \"check\", unnest([(SELECT count(*) > 0 FROM d), (SELECT count(*) = count(DISTINCT class_id) FROM d), (SELECT min(len(scores)) = (SELECT count(*) FROM d) AND max(len(scores)) = (SELECT count(*) FROM d) FROM sc), (SELECT temperature > 0 AND temperature <= 20 FROM p), (SELECT least >= 0 AND least < 1 FROM p)]) AS ok")
 def contract_check(spark, sf_dir):
     return M.contract_checks(scored(spark, sf_dir), categories(spark), T, 0.3)
 
@@ -189,14 +189,7 @@ def latency_summary(spark, sf_dir):
 @query()
 def evaluation_report(spark, sf_dir):
     """Label, category, calibration and operating point of one persisted prediction table."""
-    p = checkpointed(predictions(spark, sf_dir))
-    cm = M.confusion(p, K)
-    by_category = M.confusion(p.withColumns({"y": F.col("y") % 3, "pred": F.col("pred") % 3}), 3)
-    parts = [M.report_summary(M.class_report(cm, categories(spark))), M.calibration_error(p), M.cross_category_rate(cm, categories(spark)), M.select_threshold(M.selective_risk(p)), M.report_summary(M.class_report(by_category, categories(spark).where("class_idx < 3"))).select(F.col("accuracy").alias("category_accuracy"))]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.crossJoin(F.broadcast(x))  # one row each
-    return out
+    return M.evaluation(checkpointed(predictions(spark, sf_dir)), categories(spark), K)
 
 
 # ---- novelty
@@ -251,16 +244,9 @@ def novelty_score(spark, sf_dir):
 
 @query()
 def novelty_by_version(spark, sf_dir):
-    """The detector fitted again for a second model (every other dimension), and how each separates seeded noise."""
-    out = None
-    for name, e in (("full", embeddings(spark, sf_dir)), ("even", _even(embeddings(spark, sf_dir)))):
-        means, inverse, intensity = N.fit(e)
-        cal = N.calibrate(checkpointed(N.mahalanobis(e, means, inverse, "vec_id"))).first()
-        noise = e.select("vec_id", F.transform("embedding", lambda x: (x * 0 + F.randn(17)).cast("float")).alias("embedding"))
-        judged = N.judge(N.mahalanobis(noise, means, inverse, "vec_id"), cal.threshold)
-        row = judged.agg(F.avg(F.col("is_novel").cast("double")).alias("noise_reject")).select(F.lit(name).alias("version"), F.lit(intensity).alias("shrinkage"), F.lit(cal.threshold).alias("threshold"), F.lit(cal.reject_rate).alias("in_reject"), "noise_reject")
-        out = row if out is None else out.union(row)
-    return out.withColumn("verdict", F.when((F.col("noise_reject") < 0.5) | (F.col("in_reject") > 0.15), "weak").otherwise("separates"))
+    """The detector fitted again for a second classifier, which sees every other dimension."""
+    e = embeddings(spark, sf_dir)
+    return N.refit(e.withColumn("version", F.lit("full")).unionByName(_even(e).withColumn("version", F.lit("even"))), "vec_id")
 
 
 # ---- decisions
@@ -294,16 +280,16 @@ def _category(p):
 def category_fallback(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in ("healthy", "disease", "pest")])
     rows = _decided(spark, sf_dir).withColumn("c", _category(F.col("p"))).withColumn("category", F.get(names, F.col("c.i")))
-    say = ~F.col("reason").isin("", "novel") & (F.col("category") != "healthy") & (F.col("c.p") >= 0.3)
-    return rows.select("vec_id", "reason", "category", F.round("c.p", 6).alias("category_confidence"), F.when(say, F.concat(F.lit("treat as a "), "category", F.lit(" problem"))).otherwise("").alias("note"))
+    return rows.select("vec_id", "reason", "category", F.round("c.p", 6).alias("category_confidence"), D.category_note(F.col("reason"), F.col("category"), F.col("c.p")).alias("note"))
 
 
 @query(W + "SELECT pd.vec_id, pred, CASE WHEN pred % 3 > 0 THEN (list_position(p[1:4], list_max(p[1:4])) - 1)::INT END AS severity, CASE WHEN pred % 3 = 2 THEN list_position(p[6:9], list_max(p[6:9]))::INT END AS life_stage FROM pd JOIN pr USING (vec_id)")
 def head_gating(spark, sf_dir):
     """Severity (the first four scores) only for what can be acted on, life stage (the next five, the first ignored) only for pests."""
     best = lambda a: F.get(M.ranked(a), F.lit(0))["i"]
-    kind = F.col("pred") % 3
-    return predictions(spark, sf_dir).select("vec_id", "pred", F.when(kind > 0, best(F.slice("p", 1, 4))).alias("severity"), F.when(kind == 2, best(F.slice("p", 6, 4)) + 1).alias("life_stage"))
+    category = F.get(F.array(*[F.lit(x) for x in ("healthy", "disease", "pest")]), (F.col("pred") % 3).cast("int"))
+    severity, life_stage = D.gated_heads(category, best(F.slice("p", 1, 4)), best(F.slice("p", 6, 4)) + 1)
+    return predictions(spark, sf_dir).select("vec_id", "pred", severity.alias("severity"), life_stage.alias("life_stage"))
 
 
 @query("""WITH f AS (SELECT doc_id AS frame, (n_chars % 900 + 100)::INT AS w, (n_chars // 10 % 500 + 50)::INT AS h FROM documents),
@@ -327,5 +313,5 @@ def frame_rollup(spark, sf_dir):
 
 @query(W + "SELECT vec_id, 'Closest matches: ' || 'c' || ord[1] || ' (' || round(p1 * 100)::INT || '%), c' || ord[2] || ' (' || round(p2 * 100)::INT || '%).' AS note FROM pd WHERE p1 < 3e-1")
 def uncertain_advisory(spark, sf_dir):
-    two = F.format_string("Closest matches: c%d (%d%%), c%d (%d%%).", "pred", F.round(F.col("p1") * 100).cast("int"), "pred2", F.round(F.col("p2") * 100).cast("int"))
+    two = D.closest_note([F.concat(F.lit("c"), "pred"), F.concat(F.lit("c"), "pred2")], [F.col("p1"), F.col("p2")])
     return predictions(spark, sf_dir).where("p1 < 0.3").select("vec_id", two.alias("note"))

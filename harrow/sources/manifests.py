@@ -97,10 +97,16 @@ def union_sources(corpora: dict[str, DataFrame]) -> DataFrame:
 
 
 def save_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Model tables, each in its folder."""
+    """Tables of what was fitted, each in its folder."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_tables(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def write_policy(row: DataFrame, path: str) -> DataFrame:
+    """Writes a re-tuned policy of one row as a table that replaces the one before, and returns it as read back."""
+    row.coalesce(1).write.mode("overwrite").parquet(path)
+    return row.sparkSession.read.parquet(path)
