@@ -39,7 +39,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _later(found: DataFrame) -> DataFrame:
     """The rows (doc_id, rid, j, key, body, ...) whose body equals, byte for byte, that of the earliest row of their key."""
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "j", "body")).alias("first"))
-    return join_few(found, first, "key", broadcast_rows=10_000).where((F.col("body") == F.col("first.body")) & ~F.struct("doc_id", "rid", "j").eqNullSafe(F.struct("first.doc_id", "first.rid", "first.j")))
+    return join_few(found, first, "key", broadcast_rows=0).where((F.col("body") == F.col("first.body")) & ~F.struct("doc_id", "rid", "j").eqNullSafe(F.struct("first.doc_id", "first.rid", "first.j")))
 
 
 def _kept(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
