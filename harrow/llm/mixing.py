@@ -52,6 +52,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     kept = [f"__carry_{c}" for c in carry]
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("_key"), name.alias("_source"), *[F.col(c).alias(k) for c, k in zip(carry, kept)])
+    sized = cut(sized)  # its ranges are sampled first: words are counted once
     rows = running(sized, ["_source", "_key", "doc_id", "size", *kept], _before=F.col("size"))
     plan = cut(rows.groupBy("_source", "source").agg(F.sum("size").alias("source_size"), F.min("_before").alias("_begin")))
     plan = source_targets(plan, weights, share, most_epochs)
