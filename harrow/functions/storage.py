@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new temporary one where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+    """The folder of spark.checkpoint.dir; where none is set, a new temporary one in local mode (tests) and an error on a cluster, whose machines would not share it."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root or tempfile.mkdtemp(prefix="spark-")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
