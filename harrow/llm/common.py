@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrow.functions.storage import checkpointed as cut
+from harrow.functions.storage import shared_path
+
+__all__ = ["WORD", "cut", "held_out", "join_few", "let", "shared_path", "small_batches", "table", "text_bytes", "without"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,27 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept as files in the shared folder; a lost executor loses nothing."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession, rows=1000) -> None:
     """Lowers the session's rows for each Arrow batch to `rows`, where it is higher, so that a batch of whole texts stays small in a worker's memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
