@@ -39,13 +39,17 @@ def difference_bits(values: Column, width=64) -> list[Column]:
 def simhash(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, h0..h3): a 64-bit SimHash of the space-separated tokens, as four 16-bit integers.
 
-    Each token is one row; its 64 votes are summed as one aggregation of 64 sums, not as 64 rows.
+    Each token is one row. Two of its 64 bits, 32 places apart, are counted in the halves of one sum, so 32 sums hold all votes; a half counts up to 2^32 - 1 tokens, more than a text can have.
     """
     tokens = rows.select(id_col, F.explode(F.split(text_col, " ")).alias("t")).select(id_col, F.md5("t").alias("m"))
-    words = tokens.select(id_col, *[F.conv(F.substring("m", 4 * j + 1, 4), 16, 10).cast("int").alias(f"t{j}") for j in range(4)])
-    votes = words.groupBy(id_col).agg(*[F.sum(F.when(F.col(f"t{j}").bitwiseAND(F.lit(1 << b)) != 0, 1).otherwise(-1)).alias(f"v{j}_{b}") for j in range(4) for b in range(16)])
+    half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("long")
+    words = tokens.select(id_col, F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("w"))
+    sums = [F.sum(F.shiftrightunsigned("w", b).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"s{b}") for b in range(32)]
+    votes = words.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), *sums)
+    set_in = {"upper": lambda b: F.shiftrightunsigned(f"s{b}", 32), "lower": lambda b: F.col(f"s{b}").bitwiseAND(F.lit((1 << 32) - 1))}
     total = lambda cols: cols[0] if len(cols) == 1 else total(cols[: len(cols) // 2]) + total(cols[len(cols) // 2:])
-    return votes.select(id_col, *[total([F.when(F.col(f"v{j}_{b}") > 0, 1 << b).otherwise(0) for b in range(16)]).alias(f"h{j}") for j in range(4)])
+    parts = [("upper", 16), ("upper", 0), ("lower", 16), ("lower", 0)]
+    return votes.select(id_col, *[total([F.when(set_in[side](first + b) * 2 > F.col("n"), 1 << b).otherwise(0) for b in range(16)]).alias(f"h{j}") for j, (side, first) in enumerate(parts)])
 
 
 def near_pairs(prints: DataFrame, most=4, largest_bucket: int | None = None, bands=4, block_rows=500) -> DataFrame:
