@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from harrow.llm import language_id, quality
+from harrow.llm.alignment import align
 from harrow.llm.chat_repair import repair_roles
 from harrow.llm.common import held_out, shared_path, table
 from harrow.llm.decontamination import contamination
@@ -14,6 +15,7 @@ from harrow.llm.mixing import mix_sources
 from harrow.llm.substring_dedup import drop_repeated_spans
 from harrow.llm.topk import as_integers, top_k
 from harrow.llm.warc import base32_of_sha1, read_archive, write_archive
+from harrow.llm.whitening import whiten
 
 QUERIES, ORACLES = {}, {}
 
@@ -89,7 +91,7 @@ def op8_warc_archive(spark, sf_dir):
     write_archive(table(spark, sf_dir, "pages"), path)
     # a response's record ends with its payload and two line ends; the payload is taken from the rebuilt record, a revisit's from the store
     found = read_archive(spark, path)
-    body = F.when(F.col("record_type") == "response", F.substring("record", F.length("header") + 1, F.length("record") - F.length("header") - 4)).otherwise(F.col("payload"))
+    body = F.when(F.col("record_type") == "response", F.substring("record", F.octet_length("header") + 1, F.length("record") - F.octet_length("header") - 4)).otherwise(F.col("payload"))
     return found.select("page_id", F.length(body).cast("long").alias("payload_bytes"), base32_of_sha1(F.sha1(body)).alias("payload_digest"), "record_type", "refers_to")
 
 
@@ -157,3 +159,13 @@ t AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(x, ',' ORDER BY x)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_tokenizer_alignment(spark, sf_dir):
+    return align(table(spark, sf_dir, "documents"))

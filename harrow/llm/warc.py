@@ -32,7 +32,8 @@ def record_uri(page_id: Column) -> Column:
 
 
 def _named_page(field: str, kind: T.DataType) -> Column:
-    return F.url_decode(F.nullif(F.regexp_extract("header", rf"\r\n{field}: <urn:x-page:([^\r\n]*)>\r\n", 1), F.lit(""))).cast(kind)
+    line = rf"\r\n{field}: <urn:x-page:([^\r\n]*)>\r\n"
+    return F.when(F.regexp_like("header", F.lit(line)), F.url_decode(F.regexp_extract("header", line, 1))).cast(kind)
 
 
 def write_archive(pages: DataFrame, path: str, id_col="page_id", url_col="url", payload_col="html", least_bytes=0, date="1970-01-01T00:00:00Z") -> None:
