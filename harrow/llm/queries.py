@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harrow.llm import language_id, quality
 from harrow.llm.alignment import align
+from harrow.llm.backoff import score as score_by_automaton
 from harrow.llm.chat_repair import repair_roles
 from harrow.llm.common import held_out, shared_path, table
 from harrow.llm.decontamination import contamination
@@ -169,3 +170,8 @@ def op11_embedding_whitening(spark, sf_dir):
 @query
 def op12_tokenizer_alignment(spark, sf_dir):
     return align(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_lm_scores(spark, sf_dir):
+    return score_by_automaton(table(spark, sf_dir, "documents"))
