@@ -6,8 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that mark a plant condition and an animal pest; tokens of life stages in order; other names of crops; markers of a copy.
-CONDITION_HINTS = "blight rust mildew mould mold rot wilt smut scab anthracnose canker blast spot spots curl mosaic chlorosis necrosis lesion fungus fungal bacterial virus viral phytophthora fusarium alternaria cercospora colletotrichum septoria puccinia erysiphe oidium downy powdery damping gall scorch yellowing dieback die_back deficiency".split()
-PEST_HINTS = "aphid beetle borer bug caterpillar cricket cutworm fly grub hopper larva larvae locust maggot mite moth nymph pest scale slug snail termite thrip weevil whitefly worm armyworm bollworm mealybug grasshopper sawfly wasp ant earwig insect spider".split()
+CONDITION_HINTS = (
+    "blight", "rust", "mildew", "mould", "mold", "rot", "wilt", "smut", "scab", "anthracnose", "canker", "blast", "spot", "spots", "curl", "mosaic",
+    "chlorosis", "necrosis", "lesion", "fungus", "fungal", "bacterial", "virus", "viral", "phytophthora", "fusarium", "alternaria", "cercospora",
+    "colletotrichum", "septoria", "puccinia", "erysiphe", "oidium", "downy", "powdery", "damping", "gall", "scorch", "yellowing", "dieback",
+    "die_back", "deficiency",
+)
+PEST_HINTS = (
+    "aphid", "beetle", "borer", "bug", "caterpillar", "cricket", "cutworm", "fly", "grub", "hopper", "larva", "larvae", "locust", "maggot", "mite",
+    "moth", "nymph", "pest", "scale", "slug", "snail", "termite", "thrip", "weevil", "whitefly", "worm", "armyworm", "bollworm", "mealybug",
+    "grasshopper", "sawfly", "wasp", "ant", "earwig", "insect", "spider",
+)
 STAGES = {"larva": "larva", "larvae": "larva", "caterpillar": "larva", "grub": "larva", "nymph": "nymph", "egg": "egg", "adult": "adult", "imago": "adult"}
 SYNONYMS = {
     "corn": "maize", "corn maize": "maize", "zea mays": "maize", "vitis": "grape", "grapes": "grape", "vitis vinifera": "grape", "bell pepper": "chilli", "pepper": "chilli", "pepper bell": "chilli", "capsicum": "chilli", "chili": "chilli",

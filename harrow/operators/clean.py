@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.ranking import hash_rank
 from harrow.functions.storage import checkpointed
 
+#: The columns of a print; what a bucket of prints is known by.
+PRINT = ("h0", "h1", "h2", "h3")
+BUCKET = ["band", "value", "part", "rest"]
+
 
 def asset_facts(docs: DataFrame, id_col="doc_id", body="text") -> DataFrame:
     """Byte length, digest and a readable flag of each asset."""
@@ -52,17 +58,14 @@ def simhash(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return votes.select(id_col, *[total([F.when(set_in[side](first + b) * 2 > F.col("n"), 1 << b).otherwise(0) for b in range(16)]).alias(f"h{j}") for j, (side, first) in enumerate(parts)])
 
 
-def near_pairs(prints: DataFrame, most=4, largest_bucket: int | None = None, bands=4, block_rows=500) -> DataFrame:
-    """(a, b, distance) of rows (path, h0..h3) that share a band and differ in at most `most` bits.
+def _banded(prints: DataFrame, most: int, bands: int, part_rows: int, largest_bucket: int | None = None) -> DataFrame:
+    """(band, value, part, rest, path, h0..h3): prints by each key that two of them within `most` bits share if they share a band; a key has two rows at least.
 
-    bands equal parts of the 64 bits find all pairs up to a distance of bands - 1: the reference's four of 16 bits up to 3, five all up to 4.
-    largest_bucket is the reference's limit: larger buckets are left out, and skipped_buckets() counts them. Without it each bucket is compared whole: one of more
-    than block_rows rows is parted again by most + 1 parts of its other bits, of which two rows within `most` share one, and
-    what is still larger is compared in pairs of blocks, each a key of its own.
+    A bucket (band, value) of more than part_rows rows is parted by most + 1 parts of its other bits, of which two rows within `most` share one; others are one part.
     """
     edges = [64 * i // bands for i in range(bands + 1)]
     bit_string = F.concat(*[F.lpad(F.bin(f"h{j}"), 16, "0") for j in range(4)])
-    held = prints.select("path", "h0", "h1", "h2", "h3", bit_string.alias("bits")).select("*", F.posexplode(F.array(*[F.substring("bits", i + 1, j - i) for i, j in zip(edges, edges[1:])])).alias("band", "value"))
+    held = prints.select("path", *PRINT, bit_string.alias("bits")).select("*", F.posexplode(F.array(*[F.substring("bits", i + 1, j - i) for i, j in zip(edges, edges[1:])])).alias("band", "value"))
     size = held.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     held = held.join(size if largest_bucket is None else size.where(F.col("n") <= largest_bucket), ["band", "value"])
     start = F.get(F.array(*[F.lit(e) for e in edges]), F.col("band"))
@@ -71,17 +74,95 @@ def near_pairs(prints: DataFrame, most=4, largest_bucket: int | None = None, ban
     cuts = [F.floor((64 - width) * i / (most + 1)).cast("int") for i in range(most + 2)]
     parts = F.array(*[F.struct(F.lit(i).alias("part"), rest.substr(cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("rest")) for i in range(most + 1)])
     whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit("").alias("rest")))
-    key = ["band", "value", "part", "rest"]
-    held = held.withColumn("p", F.explode(F.when(F.col("n") > block_rows, parts).otherwise(whole))).select("path", "h0", "h1", "h2", "h3", "band", "value", "p.*")
-    count = held.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
-    held = held.join(count, key).withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
+    return held.withColumn("p", F.explode(F.when(F.col("n") > part_rows, parts).otherwise(whole))).select("path", *PRINT, "band", "value", "p.*")
+
+
+def _differing(a: str, b: str) -> Column:
+    """The number of bits in which the prints a.h0..h3 and b.h0..h3 differ."""
+    first, *more = [F.bit_count(F.col(f"{a}.{h}").bitwiseXOR(F.col(f"{b}.{h}"))) for h in PRINT]
+    return sum(more, first).cast("int")
+
+
+def near_pairs(prints: DataFrame, most=4, largest_bucket: int | None = None, bands=4, block_rows=500) -> DataFrame:
+    """(a, b, distance) of all rows (path, h0..h3) that share a band and differ in at most `most` bits: a list as long as there are such pairs. near_links() connects the same rows without listing them.
+
+    bands equal parts of the 64 bits find all pairs up to a distance of bands - 1: the reference's four of 16 bits up to 3, five all up to 4.
+    largest_bucket is the reference's limit: larger buckets are left out, and skipped_buckets() counts them. Without it each bucket is compared whole: one of more
+    than block_rows rows is parted again (_banded), and what is still larger is compared in pairs of blocks, each a key of its own.
+    """
+    held = _banded(prints, most, bands, block_rows, largest_bucket)
+    count = held.groupBy(BUCKET).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
+    held = held.join(count, BUCKET).withColumn("block", F.pmod(F.xxhash64("path"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
     a, b = held.alias("a"), held.alias("b")
-    distance = sum((F.bit_count(F.col(f"a.h{j}").bitwiseXOR(F.col(f"b.h{j}"))) for j in range(1, 4)), F.bit_count(F.col("a.h0").bitwiseXOR(F.col("b.h0"))))
+    distance = _differing("a", "b")
     on = (F.col("a.path") < F.col("b.path")) & (distance <= most) & ((F.col("a.low") == F.col("a.high")) | (F.col("a.block") != F.col("b.block")))
-    for c in (*key, "low", "high"):
+    for c in (*BUCKET, "low", "high"):
         on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    return a.join(b, on).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), distance.cast("int").alias("distance")).distinct()
+    return a.join(b, on).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), distance.alias("distance")).distinct()
+
+
+def spanning(left: np.ndarray, right: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of left[i] and right[j] (unsigned) within `most` bits that connect all that such pairs connect: fewer than there are rows."""
+    near = np.bitwise_count(left[:, None] ^ right[None, :]) <= most
+    links, new_left, new_right = [], np.ones(len(left), bool), np.ones(len(right), bool)
+    for first in range(len(left)):
+        if not new_left[first]:
+            continue
+        new_left[first], waiting = False, [first]
+        while waiting:
+            i = waiting.pop()
+            reached = np.flatnonzero(near[i] & new_right)
+            new_right[reached] = False
+            links += [(i, j) for j in reached.tolist()]
+            for j in reached.tolist():
+                more = np.flatnonzero(near[:, j] & new_left)
+                new_left[more] = False
+                links += [(k, j) for k in more.tolist()]
+                waiting += more.tolist()
+    return links
+
+
+def near_links(prints: DataFrame, most=4, bands=4, block_rows=1000) -> DataFrame:
+    """(a, b) of rows (path, h0..h3) that connects what near_pairs() connects: links within each bucket that span it, not its pairs.
+
+    The smallest path of a bucket is its hub; rows within `most` bits of it get one link to it. The others, strays, are compared with all rows of their bucket in pairs of blocks of block_rows, each a
+    task's group of bounded size that returns a spanning set of its links. So a bucket of copies costs a row for each of its rows, and only strays cost comparisons with a bucket's rows; h0..h3 should differ between rows (near_components() sees to it).
+    """
+    held = _banded(prints, most, bands, block_rows)
+    hubs = held.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", *PRINT)).alias("hub")).where("n >= 2")
+    met = checkpointed(held.alias("held").join(hubs, BUCKET).select(*BUCKET, "n", F.col("held.path").alias("path"), *[F.col(f"held.{h}").alias(h) for h in PRINT], F.col("hub.path").alias("hub"), (_differing("held", "hub") <= most).alias("near")))
+    stars = met.where("near AND path <> hub").select(F.col("hub").alias("a"), F.col("path").alias("b")).distinct()
+    stray = met.where("NOT near").select(*BUCKET, "n", "path", *PRINT)
+    blocks = lambda n: F.ceil(n / F.lit(block_rows)).cast("int")
+    counts = stray.groupBy(BUCKET).agg(blocks(F.count(F.lit(1))).alias("ls"), blocks(F.max("n")).alias("rs"))
+    bits = F.shiftleft(F.col("h0").cast("long"), 48).bitwiseOR(F.shiftleft(F.col("h1").cast("long"), 32)).bitwiseOR(F.shiftleft(F.col("h2").cast("long"), 16)).bitwiseOR(F.col("h3").cast("long")).alias("bits")
+    mine = lambda n: F.pmod(F.xxhash64("path"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = stray.select(*BUCKET, "path", bits).join(counts, BUCKET).select(*BUCKET, "path", "bits", mine("ls").alias("l"), every("rs").alias("r"))
+    right = met.where("path <> hub").select(*BUCKET, "path", bits).join(counts, BUCKET).select(*BUCKET, "path", "bits", every("ls").alias("l"), mine("rs").alias("r"))
+    right = right.toDF(*right.columns)  # columns of its own: both come from the same rows
+
+    def compare(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        found = spanning(one["bits"].to_numpy(np.int64).view(np.uint64), other["bits"].to_numpy(np.int64).view(np.uint64), most)
+        a, b = one["path"].to_numpy(), other["path"].to_numpy()
+        return pd.DataFrame([(a[i], b[j]) for i, j in found if a[i] != b[j]], columns=["a", "b"])
+
+    kind = prints.schema["path"].dataType.simpleString()
+    key = [*BUCKET, "l", "r"]
+    joined = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, f"a {kind}, b {kind}")
+    return stars.union(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
+def near_components(prints: DataFrame, most=4, bands=4, block_rows=1000) -> DataFrame:
+    """(path, component) of rows (path, h0..h3) that have a near row: the components of near_pairs(), found through near_links().
+
+    Equal prints are one node, named by their smallest path and found with a pre-aggregated minimum, so that any number of copies costs one join; links are looked for between different prints only.
+    """
+    firsts = checkpointed(prints.groupBy(*PRINT).agg(F.min("path").alias("node"), F.count(F.lit(1)).alias("n")))
+    parts = components(near_links(firsts.select(F.col("node").alias("path"), *PRINT), most, bands, block_rows))
+    named = firsts.join(parts.withColumnRenamed("path", "node"), "node", "left").where("n > 1 OR component IS NOT NULL")
+    return prints.join(named.select(*PRINT, F.coalesce("component", "node").alias("component")), list(PRINT)).select("path", "component")
 
 
 def skipped_buckets(prints: DataFrame, largest_bucket=2000) -> DataFrame:
@@ -122,7 +203,7 @@ def clean(records: DataFrame, facts: DataFrame, distance=4, **limits) -> tuple[D
     base = records.join(facts, "path", "left").withColumn("defect", defect(**limits))
     fine = checkpointed(exact_duplicates(base.where("defect IS NULL")))
     left = fine.where("duplicate IS NULL")
-    parts = components(near_pairs(left.select("path", "h0", "h1", "h2", "h3"), distance))
+    parts = checkpointed(near_components(left.select("path", *PRINT), distance))
     near = resolve_components(left.select("path", "class_id", "sharpness", "width", "height"), parts)
     kept = fine.select("path", "duplicate", "first_path", "first_class").join(near.select("path", "near_reason"), "path", "left")
     out = records.join(base.select("path", "defect"), "path").join(kept, "path", "left")

@@ -100,14 +100,15 @@ def near_pairs(spark, sf_dir):
 
 @query(rec_sql(SIM, BASE, EXACT, PAIRS, REACH) + "SELECT path, component FROM comp")
 def dup_components(spark, sf_dir):
-    return C.components(near_pairs(spark, sf_dir))
+    left = _exact(spark, sf_dir).where("duplicate IS NULL").select("path")
+    return C.near_components(text_simhash(spark, sf_dir).join(left, "path", "left_semi"))
 
 
 @query(ALL + "SELECT path, component, coalesce(near_reason, 'kept') AS outcome FROM near")
 def near_dup_survivors(spark, sf_dir):
     f = checkpointed(_exact(spark, sf_dir).where("duplicate IS NULL").select("path", "class_id", "sharpness", "width", "height"))
     prints = text_simhash(spark, sf_dir).join(f.select("path"), "path", "left_semi")
-    found = C.resolve_components(f, C.components(C.near_pairs(prints)))
+    found = C.resolve_components(f, checkpointed(C.near_components(prints)))
     return found.select("path", "component", F.coalesce("near_reason", F.lit("kept")).alias("outcome"))
 
 
