@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.functions.ranking import running
+from harrow.functions.runs import empty, merged_array, summary_column
 from harrow.operators.decision import ACTIONABLE, FLAGS, advise, bump, display_name, level_name, rank
 
 KEY = ("field_id", "zone", "class_id")
@@ -94,18 +95,26 @@ def alerts(detections: DataFrame, classes: DataFrame, now: str, days=14.0, least
     )
 
 
-def infection_runs(weather: DataFrame, rules: DataFrame) -> DataFrame:
-    """The longest run of favourable readings of each field and rule, the wet hours over all readings, and the span of the readings.
+def infection_runs(weather: DataFrame, rules: DataFrame, span="1 hour") -> DataFrame:
+    """The longest run of favourable readings of each field and rule, the wet hours over all readings, and the span of the readings; a reading without a value is not favourable.
 
-    Readings are numbered by field and time over ranges, so that a field's history is many tasks'; a run is what has the same difference between that number and the number among favourable ones.
+    Readings are shuffled once, by field and span of time, and each span is reduced to a summary for each rule (functions.runs); the summaries, a row for each span and rule, are then merged in order of
+    the spans. So neither a field's history nor a global order is one task's: a task holds the readings of one span of one field, and a field's summaries. Rules are a table that people write; their
+    few rows are part of the plan.
     """
-    numbered = running(weather.select("field_id", "ts", "event_id", "temp_c", "humidity_pct"), ["field_id", "ts", "event_id"], i=F.lit(1))
-    spans = weather.groupBy("field_id").agg(F.sum("leaf_wetness_hours").alias("wet_hours"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    good = numbered.join(F.broadcast(rules), F.col("temp_c").between(F.col("t_lo"), F.col("t_hi")) & (F.col("humidity_pct") >= F.col("least_humidity")))
-    of = ("field_id", "rule_class")
-    good = running(good.select(*of, "i"), [*of, "i"], j=F.lit(1)).withColumn("run", F.col("i") - F.col("j"))
-    best = good.groupBy(*of, "run").agg(F.count(F.lit(1)).alias("n")).groupBy(*of).agg(F.max("n").alias("best_run"))
-    return spans.crossJoin(F.broadcast(rules)).join(best, list(of), "left").withColumn("best_run", F.coalesce("best_run", F.lit(0).cast("long")))
+    width = int(pd.Timedelta(span).total_seconds())
+    reading = F.struct("ts", "event_id", "temp_c", "humidity_pct")
+    spans = weather.groupBy("field_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / width).alias("_span")).agg(
+        F.array_sort(F.collect_list(reading)).alias("_readings"), F.sum("leaf_wetness_hours").alias("_wet"), F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    known = rules.select("rule_class", "t_lo", "t_hi", "least_humidity").collect()
+    good = lambda r: lambda x: (x["temp_c"] >= r["t_lo"]) & (x["temp_c"] <= r["t_hi"]) & (x["humidity_pct"] >= r["least_humidity"])
+    each = [F.struct(F.lit(r["rule_class"]).alias("rule_class"), summary_column(F.col("_readings"), good(r)).alias("_s")) for r in known]
+    if not each:
+        each = [F.struct(F.lit(None).cast("string").alias("rule_class"), empty().alias("_s"))]  # joins no rule
+    rows = spans.select("field_id", "_span", "_wet", "_first", "_last", F.explode(F.array(*each)).alias("_e")).select("*", "_e.*")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_span", "_s"))), lambda x: x["_s"])
+    runs = rows.groupBy("field_id", "rule_class").agg(F.sum("_wet").alias("wet_hours"), F.min("_first").alias("first_ts"), F.max("_last").alias("last_ts"), merged_array(ordered)["best"].alias("best_run"))
+    return runs.join(rules, "rule_class")
 
 
 def infection_alerts(runs: DataFrame, spread: DataFrame) -> DataFrame:
