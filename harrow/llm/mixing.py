@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.ranking import running
-from harrow.llm.common import WORD, cut
+from harrow.llm.common import WORD, cut, hashable
 
 #: A broadcast side has at most so many sources; more are shuffled.
 BROADCAST_ROWS = 100_000
@@ -67,7 +67,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
 
 def row_digest(docs: DataFrame) -> Column:
     """A name of 128 bits for what a row holds, nulls told apart."""
-    cells = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    cells = hashable(docs)
     return F.concat(F.hex(F.xxhash64(*cells)), F.lit("-"), F.hex(F.xxhash64(F.lit("other"), *cells)))
 
 

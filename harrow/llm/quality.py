@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     """Learns from at most `most` labelled documents (those with the least hashes of their id), of rows that are not held out, and of at most most_passages passages, evenly spread, of each.
 
     Ids with several different labels, null labels, null ids and labels without a document take no part. The chosen ids, at most `most` rows, are broadcast; their passages' features
-    are collected, so at most most * most_passages rows of WIDTH numbers for different ids; rows that repeat an id are one document more each.
+    are collected, so at most most * most_passages rows of WIDTH numbers: of rows that repeat an id, the text with the least hash is learned from.
     With no labelled document, or labels of one kind only, every score is that kind's share (0.5 for none).
     """
     small_batches(docs.sparkSession)
@@ -118,6 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     there = docs.select(F.col(id_col).alias("id")).where("id is not null")
     chosen = agreed.join(there, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(most).select("id", F.col("y").cast("double").alias("y"))
     bags = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body")).join(F.broadcast(cut(chosen)), "id")
+    bags = bags.groupBy("id", "y").agg(F.min_by("body", F.xxhash64("body")).alias("body"))
 
     def encode(parts):
         for pdf in parts:

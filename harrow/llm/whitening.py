@@ -30,15 +30,23 @@ def _matrix(column, dims: int) -> np.ndarray:
     return flat.reshape(-1, dims)
 
 
+#: So many partial sums are added at once.
+FAN_IN = 64
+
+
+def _blob(matrix: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"m": pa.array([np.ascontiguousarray(matrix, np.float64).tobytes()], pa.binary())})
+
+
 class Centred:
     """Distributed sums over the centred vectors of a table (x: arrays of longs).
 
-    The mean is kept as whole part and remainder, so that a centred entry has the precision of its own size and not of the offset's. Each pass reads the table once;
-    a partition gives a row for each dimension, which Spark adds up. What reaches the driver has as many rows as dimensions, however many vectors there are.
+    The mean is kept as whole part and remainder, so that a centred entry has the precision of its own size and not of the offset's. Each pass reads the table once, without a shuffle of its rows;
+    a partition gives one matrix whose size follows the dimensions and not the vectors, and these are added up in a tree.
     """
 
     def __init__(self, rows: DataFrame, dims: int):
-        self.rows, self.dims = rows, dims
+        self.rows, self.dims, self.partitions = rows, dims, rows.rdd.getNumPartitions()
 
         def sums(batches):
             n, total = 0, [0] * dims
@@ -63,8 +71,8 @@ class Centred:
         return lambda column: (_matrix(column, dims) - whole) - part
 
     def _added(self, width: int, per_batch) -> np.ndarray:
-        """The dims-by-width matrix that is the sum of per_batch(centred rows) over all batches."""
-        dims, centre = self.dims, self.centre()
+        """The sum of per_batch(centred rows), a matrix of fixed size with `width` columns, over all batches: one for each partition, then FAN_IN at a time on the workers until at most FAN_IN are left for the driver."""
+        centre = self.centre()
 
         def partial(batches):
             total = None
@@ -73,12 +81,18 @@ class Centred:
                     one = per_batch(centre(b.column(0)))
                     total = one if total is None else total + one
             if total is not None:
-                yield pa.RecordBatch.from_pydict({"dim": pa.array(range(len(total)), pa.int32()), **{f"q{j}": pa.array(total[:, j]) for j in range(width)}})
-
-        columns = [f"q{j}" for j in range(width)]
-        parts = self.rows.select("x").mapInArrow(partial, "dim int, " + ", ".join(f"{c} double" for c in columns))
-        found = parts.groupBy("dim").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("dim").collect()
-        return np.array([r[1:] for r in found])
+                yield _blob(total)
+
+        def together(batches):
+            blobs = [m for b in batches for m in b.column(0).to_pylist()]
+            if blobs:
+                yield _blob(sum(np.frombuffer(m) for m in blobs))
+
+        parts, n = self.rows.select("x").mapInArrow(partial, "m binary"), self.partitions
+        while n > FAN_IN:
+            n = -(-n // FAN_IN)
+            parts = parts.repartition(n).mapInArrow(together, "m binary")
+        return sum(np.frombuffer(r["m"]) for r in parts.collect()).reshape(-1, width)
 
     def times(self, q: np.ndarray) -> np.ndarray:
         """V q for the covariance V (divisor n), by one pass: each row y adds y (y q)."""

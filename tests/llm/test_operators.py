@@ -359,6 +359,15 @@ def test_line_chunks(spark):
     assert drop_repeated_chunks(docs_of(spark, [])).collect() == []
 
 
+def test_broadcasts_are_bounded_by_bytes(spark):
+    from harrow.llm.common import is_small, join_few
+
+    few = spark.range(20).selectExpr("id", "repeat('x', 1000) AS wide", "array(1, 2) AS a", "map('k', 1) AS m", "CAST(NULL AS STRING) AS none")
+    assert is_small(few) and not is_small(few, most_bytes=10_000) and not is_small(few, most_rows=5) and is_small(few.limit(0))
+    plan = lambda **how: join_few(spark.range(100), few, "id", **how)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan() and "broadcast" not in plan(broadcast_bytes=10_000)
+
+
 def test_line_runs_equal_brute_force(spark):
     rng = random.Random(17)
     own = iter(range(10**6))
@@ -367,15 +376,16 @@ def test_line_runs_equal_brute_force(spark):
     for i in range(60):
         foreign = lambda: [f"own {next(own)}" for _ in range(rng.randrange(4))]
         rows.append((i, "\n".join(foreign() + passages[i % 5] + foreign() + (passages[rng.randrange(1, 5)][1:] if i % 3 else ["alone"]) + foreign())))
-    rows += [(70, "r\nr\nr\nr"), (71, rows[0][1]), (72, "only"), (73, "only")]
+    rows += [(70, "r\nr\nr\nr"), (71, rows[0][1]), (72, "only"), (73, "only"), (74, "x\nx\nx"), (75, "c\n\n\nd"), (76, "e\n\n \t\nf"), (77, "\n\n\n"), (78, "d\nx\nx"), (79, "\n\nd\nx")]
     rng.shuffle(rows)
     got = {r.doc_id: r for r in drop_repeated_runs(docs_of(spark, rows), carry=("key",)).collect()}
-    seen = set()
+    seen = {}
     for i, t in sorted(rows):
         lines, gone = t.split("\n"), set()
         for j, pair in enumerate(zip(lines, lines[1:])):
-            gone |= {j, j + 1} if pair in seen else set()
-            seen.add(pair)
+            if "".join(pair).strip(" \t\n\v\f\r"):
+                d, k = seen.setdefault(pair, (i, j))
+                gone |= {j, j + 1} if d != i or j >= k + 2 else set()
         left = [x for j, x in enumerate(lines) if j not in gone]
         assert (got[i].n_lines, got[i].n_removed, got[i].kept_text, got[i].key) == (len(lines), len(gone), "\n".join(left), "y")
         assert i < 5 or i >= 60 or not set(passages[i % 5]) & set(left)
@@ -385,6 +395,20 @@ def test_line_runs_equal_brute_force(spark):
 
 
 # ---- 8
+def test_warc_query_on_urls_and_ids_of_all_kinds(spark, tmp_path):
+    from harrow.llm.queries import QUERIES
+
+    pages = [("b", "http://e/ü/é", "<b>hi</b>"), ("c", "http://plain", "<b>hi</b>"), ("日本", "http://日本", "zz"), ("", "u", "x"), ("x", "v", "x"), ("é%/ 1", "w", "y"), ("f", "w", "y"), (None, "http://ü", None), (" ", "s", "blank id")]
+    spark.createDataFrame(pages, "page_id string, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: tuple(r)[1:] for r in QUERIES["op8_warc_archive"](spark, str(tmp_path)).collect()}
+    import base64
+
+    for i, _, html in pages:
+        body = (html or "").encode()
+        owner = min(j for j, _, h in pages if j is not None and (h or "") == (html or "")) if i is not None else None
+        assert got[i] == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if i == owner else "revisit", None if i == owner else owner), i
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "http://a", "<p>x</p>"), (1, "http://b", "<p>x</p>"), (2, None, None), (5, "u\r\nv", ""), (4, "http://c", "é" * 50), (None, "n", "<p>x</p>")]
     rows += [(6, "http://é/ x", "long " * 200_000)]
@@ -491,3 +515,12 @@ def test_decontamination_equals_brute_force(spark):
     assert {(r.n_items, r.n_hit) for r in contamination(docs_of(spark, [(i, items[0][1]) for i in range(50)]), shared).collect()} == {(50, 25)}
     assert contamination(docs_of(spark, []), bench).collect() == []
     assert {r.contaminated for r in contamination(docs_of(spark, rows), bench.limit(0)).collect()} == {False}
+
+
+def test_quality_learns_from_so_many_rows_at_most(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.AttentionClassifier, "fit", lambda self, owner, x, y: seen.append(len(y)) or self)
+    docs = [(0, f"text number {i}") for i in range(500)] + [(i, "other words") for i in range(1, 30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    quality.fit(docs_of(spark, docs), labels, most=20)
+    assert seen == [20]

@@ -98,7 +98,7 @@ def test_stages_on_nulls_repeats_clashing_columns_and_nothing(spark, tables, tmp
     folder, _ = tables
     plain = spark.read.parquet(f"{folder}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (None, "a b c d e f g", None, None, 13), (0, "twice " * 30, "en", "a", 180), (0, "twice " * 30, "en", "a", 180), (950, "word " * 30000, "en", "b", 150000)], plain.schema)
-    clash = {c: F.lit("x") for c in ("size", "key", "h", "rid", "chunk", "words", "score", "taken", "epoch", "class_id", "id", "body", "__row", "row", "row_", "__mix_row", "__mix_n", "_before", "_key", "copy", "shingles", "first")}
+    clash = {c: F.lit("x") for c in ("size", "key", "h", "rid", "chunk", "words", "score", "taken", "epoch", "class_id", "id", "body", "__row", "row", "row_", "__mix_row", "__mix_n", "_before", "_key", "copy", "shingles", "first")} | {"map": F.create_map(F.lit("k"), F.lit(1)), "maps": F.array(F.create_map(F.lit(1), F.lit(None).cast("string")))}
     for name, docs in (("empty", plain.limit(0)), ("odd", plain.limit(60).union(odd).withColumns(clash))):
         kept = Counter()
         for stage, f in corpus_pipeline.STAGES:

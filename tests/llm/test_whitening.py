@@ -37,6 +37,16 @@ def test_equals_a_dense_solver(spark):
     assert {(r["vec_id"], r["component"]): r["whitened"] for r in whiten(vectors(spark, rows)).collect() if r["vec_id"]} == {(r["vec_id"], r["component"]): pytest.approx(r["whitened"], abs=1e-9) for r in got if r["vec_id"]}
 
 
+def test_partial_sums_are_added_in_a_tree(spark, monkeypatch):
+    import harrow.llm.whitening as w
+
+    rows = [(i, [float(i % 7), i / 8, -i % 5 / 2]) for i in range(200)]
+    once = {(r["vec_id"], r["component"]): r["whitened"] for r in whiten(vectors(spark, rows).repartition(9)).collect()}
+    monkeypatch.setattr(w, "FAN_IN", 2)
+    again = {(r["vec_id"], r["component"]): r["whitened"] for r in whiten(vectors(spark, rows).repartition(9)).collect()}
+    assert len(once) == 600 and once == pytest.approx(again, abs=1e-9)
+
+
 def test_edge_cases(spark):
     assert whiten(vectors(spark, [(1, None)]).limit(0)).collect() == [] and whiten(vectors(spark, [(1, None), (2, [])])).collect() == []
     assert whiten(vectors(spark, [(1, [0.5, 1.0])])).collect() == [] and whiten(vectors(spark, [(1, [0.5, 1.0]), (2, [0.5, 1.0])])).collect() == []
