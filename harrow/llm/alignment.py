@@ -23,7 +23,8 @@ from harrow.llm.perfect_hash import PerfectHash, build, shard_of
 U = np.uint64
 SPACE_MARK = "▁"
 #: A place where both tokenizers begin anew whatever stands on its two sides: before a space that follows a character other than white space.
-SEAM = re.compile(r"(?<=\S)(?= )")
+SEAM = re.compile(r"(?<=\S) ")
+DOUBLE = re.compile(r"\s ")
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -65,12 +66,16 @@ class Tokenizers:
         # no piece goes over a seam: none has the space mark after another character
         self.seams = not any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", p) for p in pieces)
 
-    def encode(self, parts: list[str]):
-        """parts begin with a space. ids and number of ids of each part, for a and b."""
-        a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
-        b = self.b.encode([p[1:] for p in parts], num_threads=1)
+    def encode(self, parts: list[str], at_once=8192):
+        """ids and number of ids of each part, for a and b; each part stands after a space, which b adds by itself."""
+        out = [], [], [], []
         flat = lambda x: (np.fromiter(chain.from_iterable(x), np.int64), np.fromiter(map(len, x), np.int64, len(x)))
-        return *flat(a), *flat(b)
+        for i in range(0, len(parts), at_once):
+            some = parts[i:i + at_once]
+            a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
+            for into, x in zip(out, (*flat(a), *flat(self.b.encode(some, num_threads=1)))):
+                into.append(x)
+        return [np.concatenate([np.zeros(0, np.int64), *x]) for x in out]
 
 
 @lru_cache(maxsize=2)
@@ -78,6 +83,14 @@ def _tokenizers(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
+def _parts(text: str) -> list[str]:
+    """text with a space before it, cut at its seams; of each part what follows its first space."""
+    if text[0] != " " and not DOUBLE.search(text):
+        return text.split(" ")
+    first, *more = SEAM.split(" " + text)
+    return [first[1:], *more]
+
+
 class _Numbers(dict):
     def __missing__(self, key):
         self[key] = n = len(self)
@@ -110,12 +123,12 @@ class Aligned:
     def __init__(self, texts: list[str | None], tok: Tokenizers):
         self.tok, numbers, found = tok, _Numbers(), []
         for t in texts:
-            found.append([numbers[p] for p in (SEAM.split(" " + t) if tok.seams else (" " + t,))] if t else [])
+            found.append(list(map(numbers.__getitem__, _parts(t) if tok.seams else [t])) if t else [])
         self._align(list(numbers))
         if not self.sound.all():
             for i, parts in enumerate(found):
                 if parts and not self.sound[parts].all():
-                    found[i] = [numbers[" " + texts[i]]]
+                    found[i] = [numbers[texts[i]]]
             if len(numbers) > len(self.sound):
                 self._align(list(numbers))
             found = [p if not p or self.sound[p].all() else [] for p in found]
@@ -125,7 +138,7 @@ class Aligned:
         self.first = self.last - self.size
 
     def _align(self, parts: list[str]) -> None:
-        tok, raw = self.tok, [p.encode() for p in parts]
+        tok, raw = self.tok, [b" " + p.encode() for p in parts]
         ids_a, n_a, ids_b, n_b = tok.encode(parts)
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)

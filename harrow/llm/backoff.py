@@ -99,35 +99,17 @@ def _edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.r_[np.searchsorted(hashes, np.array([(b << 64) // buckets for b in range(buckets)], U)), len(hashes)]
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, learn: Column, order: int, buckets: int, chunk_bytes: int) -> DataFrame:
-    """A row for each chunk of documents: chunk, ids, learn, sizes, body (their texts, compressed) and requests: of each level and bucket of hashes, the chunk's different n-grams with their counts in its training texts.
-
-    A chunk has about chunk_bytes of text, or one longer text.
-    """
+def chunked(docs: DataFrame, id_col: str, text_col: str, learn: Column, chunk_bytes: int) -> DataFrame:
+    """A row for each chunk of documents: chunk, ids, learn, sizes, body (their texts, compressed). A chunk has about chunk_bytes of text, or one longer text."""
     id_type = docs.schema[id_col].dataType
 
     def pack(held: list, number: int) -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        texts, learns = table.column(2).to_pylist(), np.array(table.column(1).to_pylist(), bool)
-        grams, requests = Grams(texts, order), []
-        places = grams.of_texts(learns)
-        for level, hashes in enumerate(grams.levels):
-            found, at = numbered(hashes)
-            counts = np.bincount(at, places, len(found)).astype(np.int64)
-            edges = _edges(found, buckets)
-            for b in range(buckets):
-                i, j = edges[b], edges[b + 1]
-                if j > i:
-                    steps = np.diff(found[i:j], prepend=U(0))
-                    requests.append({"key": level * buckets + b, "n": int(j - i), "grams": _packed(steps, 8), "counts": _packed(counts[i:j], 4)})
-        ids, n = table.column(0), len(texts)
-        column = ids.chunk(0) if ids.num_chunks else pa.array([], ids.type)
+        texts, ids = table.column(2).to_pylist(), table.column(0).chunk(0)
         return pa.RecordBatch.from_arrays([
-            pa.array([f"{TaskContext.get().partitionId()}-{number}"]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), column), pa.array([learns.tolist()], pa.list_(pa.bool_())),
-            pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)]), pa.array([requests], pa.list_(request)),
-        ], names=["chunk", "ids", "learn", "sizes", "body", "requests"])
-
-    request = pa.struct([("key", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
+            pa.array([f"{TaskContext.get().partitionId()}-{number}"]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([table.column(1).to_pylist()], pa.list_(pa.bool_())),
+            pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), pa.array([pa.compress(b"".join(texts), codec="zstd", asbytes=True)]),
+        ], names=["chunk", "ids", "learn", "sizes", "body"])
 
     def chunks(parts):
         held, size, number = [], 0, 0
@@ -143,13 +125,37 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, learn: Column, order: i
         if held:
             yield pack(held, number)
 
-    schema = T.StructType([
-        T.StructField("chunk", T.StringType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("learn", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("body", T.BinaryType()),
-        T.StructField("requests", T.ArrayType(T.StructType([T.StructField("key", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("grams", T.BinaryType()), T.StructField("counts", T.BinaryType())]))),
-    ])
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), learn.alias("learn"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    return rows.mapInArrow(chunks, schema)
+    return rows.mapInArrow(chunks, T.StructType([T.StructField("chunk", T.StringType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("learn", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("body", T.BinaryType())]))
+
+
+def _grams(body: bytes, sizes: list[int], order: int) -> Grams:
+    texts, at = pa.decompress(body, sum(sizes), codec="zstd", asbytes=True), 0
+    parts = []
+    for n in sizes:
+        parts.append(texts[at:at + n])
+        at += n
+    return Grams(parts, order)
+
+
+def requested(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(chunk, key, n, grams, counts): of each chunk, level and bucket (an equal range of hashes) the different n-grams in order, as differences, with their counts in the chunk's training texts."""
+    def requests(parts):
+        for b in parts:
+            for chunk, learn, sizes, body in zip(*[c.to_pylist() for c in b.columns]):
+                grams = _grams(body, sizes, order)
+                places = grams.of_texts(np.array(learn, bool))
+                for level, hashes in enumerate(grams.levels):
+                    found, at = numbered(hashes)
+                    counts, edges = np.bincount(at, places, len(found)).astype(np.int64), _edges(found, buckets)
+                    held = [(k, i, j) for k, (i, j) in enumerate(zip(edges, edges[1:])) if j > i]
+                    yield pa.RecordBatch.from_pydict({
+                        "chunk": pa.array([chunk] * len(held), pa.string()), "key": pa.array([level * buckets + k for k, _, _ in held], pa.int32()), "n": pa.array([int(j - i) for _, i, j in held], pa.int32()),
+                        "grams": pa.array([_packed(np.diff(found[i:j], prepend=U(0)), 8) for _, i, j in held], pa.binary()), "counts": pa.array([_packed(counts[i:j], 4) for _, i, j in held], pa.binary()),
+                    })
+
+    return chunks.select("chunk", "learn", "sizes", "body").mapInArrow(requests, "chunk string, key int, n int, grams binary, counts binary")
 
 
 def _answered(key, table):
@@ -199,7 +205,7 @@ def traverse(arcs: list[list[float]], there: list[list[bool]], known: list[bool]
     return total
 
 
-def score(docs: DataFrame, id_col="doc_id", text_col="text", learn: Column | None = None, order=2, chunk_bytes=16 << 20, bucket_bytes=32 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col="doc_id", text_col="text", learn: Column | None = None, order=2, chunk_bytes=8 << 20, bucket_bytes=32 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): a row for each document.
 
     Tokens are a text's words (runs of characters other than ASCII white space, A-Z in lower case) and one end. n-grams up to `order` are counted over all training documents, none left out; states, arcs and
@@ -217,10 +223,9 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", learn: Column | Non
     id_type = docs.schema[id_col].dataType
     buckets = max(1, -(-text_bytes(docs, text_col) // bucket_bytes))
     path, answers_path = shared_path(spark, "chunks"), shared_path(spark, "counts")
-    chunked(docs, id_col, text_col, learn, order, buckets, chunk_bytes).write.parquet(path)
+    chunked(docs, id_col, text_col, learn, chunk_bytes).write.parquet(path)
     chunks = spark.read.parquet(path)
-    requests = chunks.select("chunk", F.explode("requests").alias("r")).select("chunk", "r.*")
-    requests.groupBy("key").applyInArrow(_answered, "chunk string, key int, n int, counts binary, facts array<long>").write.parquet(answers_path)
+    requested(chunks, order, buckets).groupBy("key").applyInArrow(_answered, "chunk string, key int, n int, counts binary, facts array<long>").write.parquet(answers_path)
     answers = spark.read.parquet(answers_path)
     facts = answers.where("chunk IS NULL").groupBy(F.floor(F.col("key") / buckets).cast("int").alias("level")).agg(*[F.sum(F.col("facts")[i]).alias(n) for i, n in enumerate(("types", "singles", "tokens"))])
     facts = {r["level"]: r for r in facts.collect()}
@@ -235,9 +240,7 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", learn: Column | Non
             ids = left.column("ids").combine_chunks().flatten()
             if isinstance(ids, pa.ChunkedArray):
                 ids = ids.combine_chunks()
-            sizes = np.array(left.column("sizes")[0].as_py(), np.int64)
-            body, ends = pa.decompress(left.column("body")[0].as_py(), int(sizes.sum()), codec="zstd", asbytes=True), np.cumsum(sizes)
-            grams = Grams([body[e - n:e] for e, n in zip(ends.tolist(), sizes.tolist())], order)
+            grams = _grams(left.column("body")[0].as_py(), left.column("sizes")[0].as_py(), order)
             got = sorted(zip(right.column("key").to_pylist(), right.column("n").to_pylist(), right.column("counts").to_pylist()))
             counts = []
             for level, hashes in enumerate(grams.levels):
@@ -260,4 +263,4 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", learn: Column | Non
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return chunks.drop("requests").groupBy("chunk").cogroup(answers.where("chunk IS NOT NULL").drop("facts").groupBy("chunk")).applyInArrow(walk, schema)
+    return chunks.groupBy("chunk").cogroup(answers.where("chunk IS NOT NULL").drop("facts").groupBy("chunk")).applyInArrow(walk, schema)
