@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.functions.ranking import running
+
 THRESHOLDS = tuple(round(0.05 * i, 2) for i in range(1, 20))
 
 
@@ -123,18 +125,45 @@ def mean_nll(scored: DataFrame, temperatures) -> DataFrame:
     return rows.select(F.explode("x").alias("x")).select("x.*")
 
 
-def fit_temperature(scored: DataFrame, low=0.05, high=20.0, steps=9, rounds=4) -> float:
-    """The temperature of least mean NLL in [low, high], by a grid that is refined around its best point `rounds` times; 1 where nothing is labelled. Each round is one pass and returns `steps` numbers."""
-    a, b, best = low, high, 1.0
-    for _ in range(rounds):
-        grid = [a * (b / a) ** (i / (steps - 1)) for i in range(steps)]
-        got = sorted((r.nll, r.temperature) for r in mean_nll(scored, grid).collect() if r.nll is not None and r.nll == r.nll)
-        if not got:
-            return 1.0
-        best = got[0][1]
-        i = grid.index(best)
-        a, b = grid[max(i - 1, 0)], grid[min(i + 1, steps - 1)]
-    return best
+def loss_slopes(scored: DataFrame, inverses: list[float]) -> list[tuple[float, float]] | None:
+    """First and second derivative of the mean loss at each inverse temperature, by one pass over labelled rows; None without any. They are E[s] - s_y and Var[s] under the softmax, averaged."""
+    top = F.array_max("scores")
+
+    def of(b: float) -> Column:
+        zero = F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("a"), F.lit(0.0).alias("q"))
+        add = lambda m, s: F.struct((m["z"] + F.exp((s - top) * b)).alias("z"), (m["a"] + F.exp((s - top) * b) * (s - top)).alias("a"), (m["q"] + F.exp((s - top) * b) * (s - top) * (s - top)).alias("q"))
+        mean = lambda m: F.struct((m["a"] / m["z"] - (F.get("scores", F.col("y")) - top)).alias("slope"), (m["q"] / m["z"] - m["a"] * m["a"] / (m["z"] * m["z"])).alias("curve"))
+        return F.aggregate("scores", zero, add, mean)
+
+    rows = scored.where("y IS NOT NULL").select(*[of(b).alias(f"x{i}") for i, b in enumerate(inverses)])
+    got = rows.agg(*[F.avg(f"x{i}.{k}") for i in range(len(inverses)) for k in ("slope", "curve")]).first()
+    return None if got[0] is None else list(zip(got[0::2], got[1::2]))
+
+
+def fit_temperature(scored: DataFrame, low=0.05, high=20.0, tolerance=1e-9, most_passes=6, points=12) -> float:
+    """The temperature of least mean NLL in [low, high]; 1 where nothing is labelled.
+
+    The loss is convex in the inverse temperature. A first pass takes its slope at `points` inverses over the range and so finds two between which it changes its sign (or an end of the range); Newton steps from the better of them follow, one pass each,
+    kept between the nearest points of either sign, until a step is below tolerance or most_passes are made.
+    """
+    grid = [1 / high * (high / low) ** (i / (points - 1)) for i in range(points)]
+    first = loss_slopes(scored, grid)
+    if first is None or any(s != s for s, _ in first):
+        return 1.0
+    if first[0][0] >= 0 or first[-1][0] <= 0:
+        return high if first[0][0] >= 0 else low
+    i = next(i for i, (s, _) in enumerate(first) if s > 0)
+    a, b = grid[i - 1], grid[i]
+    at, (slope, curve) = min(((a, first[i - 1]), (b, first[i])), key=lambda x: abs(x[1][0]))
+    for _ in range(most_passes - 1):
+        step = at - slope / curve if curve > 0 else b
+        if abs(step - at) <= tolerance * at:
+            return 1 / step
+        at = step if a < step < b else (a * b) ** 0.5
+        slope, curve = loss_slopes(scored, [at])[0]
+        a, b = (a, at) if slope > 0 else (at, b)
+    step = at - slope / curve if curve > 0 else at
+    return 1 / min(max(step, a), b)
 
 
 def masked_accuracy(rows: DataFrame, pred: str, y: str) -> DataFrame:
@@ -187,16 +216,16 @@ def contract_checks(scored: DataFrame, dim: DataFrame, temperature: float, least
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("ok")) for k, v in checks.items()])).alias("x")).select("x.*")
 
 
-def latency_summary(rows: DataFrame, by="run", value="latency_ms", ranges=64) -> DataFrame:
+def latency_summary(rows: DataFrame, by="run", value="latency_ms") -> DataFrame:
     """mean, min, nearest-rank percentiles, max, population deviation and a verdict for each run.
 
-    A percentile is the value of one rank: round half even of p * (n - 1). Equal values are first counted, so a run is ranked over its different values.
+    A percentile is the value of one rank: round half even of p * (n - 1). Equal values are first counted, and counts are placed by running sums over ranges of (run, value), so that no run is one task's.
     """
-    counts = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by).orderBy(value)
-    counts = counts.withColumn("upto", F.sum("c").over(w))
+    counts = running(rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("c")), [by, value], before=F.col("c"))
     stats = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("stdev"))
-    at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("n") - 1)), F.col(value)))
-    pct = counts.join(stats.select(by, "n"), by).groupBy(by).agg(*[at(q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)])
+    begins = counts.groupBy(by).agg(F.min("before").alias("begin"))
+    upto = F.col("before") - F.col("begin") + F.col("c")
+    at = lambda q: F.min(F.when(upto > F.bround(F.lit(q) * (F.col("n") - 1)), F.col(value)))
+    pct = counts.join(stats.select(by, "n").join(begins, by), by).groupBy(by).agg(*[at(q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)])
     verdict = F.when(F.col("p95") < 500, "good").when(F.col("p95") < 1500, "usable").otherwise("too slow")
     return stats.join(pct, by).withColumn("verdict", verdict)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,13 +87,27 @@ def precision(cov: DataFrame, intensity: float, mu: float) -> np.ndarray:
     d = int(cells["i"].max()) + 1
     c = np.zeros((d, d))
     c[cells["i"], cells["j"]] = cells["v"]
-    c = (1 - intensity) * c + intensity * max(mu, 1e-12) * np.eye(d)
+    return inverse_of(c, intensity, mu)
+
+
+def inverse_of(covariance: np.ndarray, intensity: float, mu: float) -> np.ndarray:
+    """The inverse, or pseudo-inverse, of a covariance that is shrunk towards mu times the identity."""
+    c = (1 - intensity) * covariance + intensity * max(mu, 1e-12) * np.eye(len(covariance))
     try:
         return np.linalg.inv(c)
     except np.linalg.LinAlgError:
         return np.linalg.pinv(c)
 
 
+def least_distance(x: np.ndarray, mu: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Of each row the least squared Mahalanobis distance to a row of mu."""
+    best = np.full(len(x), np.inf)
+    for m in mu:
+        d = x - m
+        best = np.minimum(best, ((d @ inverse) * d).sum(1))
+    return best
+
+
 def mahalanobis(rows: DataFrame, means: DataFrame, inverse: np.ndarray, key: str) -> DataFrame:
     """(key, score): the least squared Mahalanobis distance to a centre, one centre at a time over each batch."""
     _, mu = _array(means)
@@ -100,11 +115,7 @@ def mahalanobis(rows: DataFrame, means: DataFrame, inverse: np.ndarray, key: str
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            best = np.full(len(x), np.inf)
-            for m in mu:
-                d = x - m
-                best = np.minimum(best, ((d @ inverse) * d).sum(1))
-            yield pd.DataFrame({key: pdf[key], "score": best})
+            yield pd.DataFrame({key: pdf[key], "score": least_distance(x, mu, inverse)})
 
     return rows.select(key, "embedding").mapInPandas(part, f"{key} {rows.schema[key].dataType.simpleString()}, score double")
 
@@ -143,21 +154,120 @@ def verdict(noise_reject: Column, in_reject: Column) -> Column:
     return F.when((noise_reject < 0.5) | (in_reject > 0.15), "weak").otherwise("separates")
 
 
+def _added(parts: DataFrame, by: list[str], salts: int, fan_in=64) -> DataFrame:
+    """(by, m): the sums of parts (by, salt from 0 to salts - 1, m: doubles as bytes), fan_in rows at a time at each level, so that no group grows with the parts."""
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[:1].copy()
+        first["m"] = [sum(np.frombuffer(m) for m in pdf["m"]).tobytes()]
+        return first
+
+    schema = parts.select(*by, "salt", "m").schema
+    while salts > fan_in:
+        parts = parts.withColumn("salt", F.floor(F.col("salt") / fan_in).cast("long")).groupBy(*by, "salt").applyInPandas(add, schema)
+        salts = -(-salts // fan_in)
+    return parts.withColumn("salt", F.lit(0).cast("long")).groupBy(*by).applyInPandas(add, schema).drop("salt")
+
+
+def grouped_moments(rows: DataFrame, most_bytes=256 << 20) -> DataFrame:
+    """(version, label, m) by one pass over rows (version, label, embedding): of each version and class, as doubles in a row, n, the sum of |x|^2, that of |x|^4, then the sums of x, of |x|^2 x and of x x'.
+
+    Moments of parts add up to those of the whole. A task holds at most most_bytes of them and writes what it has where it would hold more.
+    """
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, salt = {}, 0, TaskContext.get().partitionId()
+
+        def out() -> pd.DataFrame:
+            return pd.DataFrame([(v, k, salt, m.tobytes()) for (v, k), m in held.items()], columns=["version", "label", "salt", "m"])
+
+        for pdf in batches:
+            for key, group in pdf.groupby(["version", "label"], dropna=False):
+                x = np.stack(group["embedding"].to_numpy()).astype(float)
+                s = (x * x).sum(1)
+                m = np.concatenate([[len(x), s.sum(), (s * s).sum()], x.sum(0), s @ x, (x.T @ x).ravel()])
+                size += m.nbytes * (key not in held)
+                held[key] = held.get(key, 0) + m
+                if size > most_bytes:
+                    yield out()
+                    held, size = {}, 0
+        if held:
+            yield out()
+
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    parts = rows.select("version", "label", "embedding").mapInPandas(part, f"version {fields['version']}, label {fields['label']}, salt long, m binary")
+    return _added(parts, ["version", "label"], rows.rdd.getNumPartitions())
+
+
+def fit_versions(rows: DataFrame, fan_in=64) -> dict:
+    """version -> (labels, their means as rows, precision, intensity, n): the detectors of all versions from grouped_moments(), what fit() gives for each on its own.
+
+    Within-class scatter and the sum of |x - mean|^4 follow from a class's moments, on the workers; of each version the means and one D x D matrix reach the driver.
+    """
+    def centred(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for version, label, blob in zip(pdf["version"], pdf["label"], pdf["m"]):
+                m = np.frombuffer(blob)
+                d = int(round(np.sqrt(len(m) - 2))) - 1  # 3 + 2 d + d^2 numbers
+                n, squares, fourth, x, sx, xx = m[0], m[1], m[2], m[3:3 + d], m[3 + d:3 + 2 * d], m[3 + 2 * d:].reshape(d, d)
+                mean = x / n
+                mm = mean @ mean
+                # the sum of (|x|^2 - 2 x.mean + |mean|^2)^2, multiplied out
+                fourth = fourth + 4 * mean @ xx @ mean + n * mm * mm - 4 * sx @ mean + 2 * mm * squares - 4 * mm * (x @ mean)
+                out.append((version, label, mean.tobytes(), np.concatenate([[n, 1.0, fourth], (xx - n * np.outer(mean, mean)).ravel()]).tobytes()))
+            yield pd.DataFrame(out, columns=["version", "label", "mean", "m"])
+
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    each = checkpointed(grouped_moments(rows).mapInPandas(centred, f"version {fields['version']}, label {fields['label']}, mean binary, m binary"))
+    place = each.select("version", F.pmod(F.xxhash64("label"), F.lit(fan_in * fan_in)).alias("salt"), "m")
+    pooled = _added(place, ["version"], fan_in * fan_in, fan_in).collect()  # one row a version
+    means: dict = {}
+    for r in each.select("version", "label", "mean").collect():  # one row a class
+        means.setdefault(r.version, []).append((r.label, np.frombuffer(r["mean"])))
+    out = {}
+    for r in pooled:
+        m = np.frombuffer(r.m)
+        d = int(round(np.sqrt(len(m) - 3)))
+        n, classes, fourth, cov = m[0], m[1], m[2], m[3:].reshape(d, d) / max(m[0] - m[1], 1)
+        mu = np.trace(cov) / d
+        squares = (cov * cov).sum()
+        delta = (squares - d * mu * mu) / d
+        beta = max(0.0, min(delta, (fourth / n - squares) / (n * d)))
+        intensity = 1.0 if n < 2 or delta <= 0 else min(1.0, beta / delta)
+        labelled = sorted(means[r.version], key=lambda x: x[0])
+        out[r.version] = ([k for k, _ in labelled], np.array([v for _, v in labelled]), inverse_of(cov, intensity, mu), intensity, int(n))
+    return out
+
+
+def noise(keys: np.ndarray, d: int, seed: int) -> np.ndarray:
+    """Normal numbers, d for each key (64 bits), that depend on the key, the place and the seed only."""
+    x = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, 2 * d + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(by))) * np.uint64(times)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+    return np.sqrt(-2 * np.log1p(-u[:, :d])) * np.cos(2 * np.pi * u[:, d:])
+
+
 def refit(rows: DataFrame, key: str, seed=17) -> DataFrame:
     """The detector fitted again for each version of a classifier: (version, classes, n, enough, shrinkage, threshold, in_reject, noise_reject, verdict).
 
-    rows (version, key, label, embedding) hold each version's embeddings, whose lengths may differ. Versions are few and are fitted one after the other, each over all its rows. enough says whether a version
-    has at least two rows for each of its classes; without that its covariance says little. noise_reject is the share of normal noise of the same length that is called novel.
+    rows (version, key, label, embedding) hold each version's embeddings, whose lengths may differ between versions. They are read twice, however many versions there are: once for the moments of all versions and
+    classes, once for the distances of each row, and of normal noise of the same length in its place, to its version's centres. enough says whether a version
+    has at least two rows for each of its classes; without that its covariance says little. noise_reject is the share of noise that is called novel.
     """
-    out = None
-    for version in [r.version for r in rows.select("version").distinct().orderBy("version").collect()]:
-        mine = rows.where(F.col("version").eqNullSafe(F.lit(version))).drop("version")
-        means, inverse, intensity = fit(mine)
-        cal = calibrate(checkpointed(mahalanobis(mine, means, inverse, key))).first()
-        noise = mine.select(key, F.transform("embedding", lambda x: (x * 0 + F.randn(seed)).cast("float")).alias("embedding"))
-        rejected = judge(mahalanobis(noise, means, inverse, key), cal.threshold).agg(F.avg(F.col("is_novel").cast("double")).alias("noise_reject"))
-        size = mine.agg(F.count_distinct("label").alias("classes"), F.count(F.lit(1)).alias("n"))
-        row = size.crossJoin(F.broadcast(rejected))  # one row each
-        row = row.select(F.lit(version).alias("version"), "classes", "n", (F.col("n") >= 2 * F.col("classes")).alias("enough"), F.lit(intensity).alias("shrinkage"), F.lit(cal.threshold).alias("threshold"), F.lit(cal.reject_rate).alias("in_reject"), "noise_reject")
-        out = row if out is None else out.union(row)
-    return out.withColumn("verdict", verdict(F.col("noise_reject"), F.col("in_reject")))
+    fitted = fit_versions(rows)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for version, group in pdf.groupby("version", dropna=False):
+                _, mu, inverse, _, _ = fitted[version if version == version else None]
+                x = np.stack(group["embedding"].to_numpy()).astype(float)
+                yield pd.DataFrame({"version": group["version"], "score": least_distance(x, mu, inverse), "noise": least_distance(noise(group["key"].to_numpy(), x.shape[1], seed), mu, inverse)})
+
+    kind = rows.schema["version"].dataType.simpleString()
+    scored = checkpointed(rows.select("version", F.xxhash64(key).alias("key"), "embedding").mapInPandas(part, f"version {kind}, score double, noise double"))
+    cut = quantiles(scored.select("version", F.col("score").alias("x")), {"threshold": 0.975}, by="version").select("version", "threshold")
+    known = [(v, len(labels), n, float(intensity)) for v, (labels, _, _, intensity, n) in fitted.items()]
+    sizes = rows.sparkSession.createDataFrame(known, f"version {kind}, classes long, n long, shrinkage double").withColumn("enough", F.col("n") >= 2 * F.col("classes"))
+    share = lambda c: F.avg((F.col(c) > F.col("threshold")).cast("double"))
+    rejected = scored.join(cut, "version").groupBy("version", "threshold").agg(share("score").alias("in_reject"), share("noise").alias("noise_reject"))
+    return sizes.join(rejected, "version").select("version", "classes", "n", "enough", "shrinkage", "threshold", "in_reject", "noise_reject").withColumn("verdict", verdict(F.col("noise_reject"), F.col("in_reject")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.ranking import quantiles, running
+from harrow.functions.storage import checkpointed
 
 
 def class_counts(records: DataFrame) -> DataFrame:
@@ -18,9 +19,10 @@ def totals(records: DataFrame) -> DataFrame:
 
 
 def balance(records: DataFrame) -> DataFrame:
-    c = class_counts(records)
+    c = checkpointed(class_counts(records))
+    median = quantiles(c.select(F.lit("all").alias("name"), F.col("n").alias("x")), {"median": 0.5}).select("median")
     large, small = F.struct(F.col("n"), F.col("class_id")), F.struct(-F.col("n"), F.col("class_id"))
-    return c.agg(F.max_by("class_id", large).alias("largest"), F.max("n").alias("most"), F.max_by("class_id", small).alias("smallest"), F.min("n").alias("least"), (F.max("n") / F.min("n")).alias("ratio"), F.percentile("n", F.lit(0.5)).alias("median"))
+    return c.agg(F.max_by("class_id", large).alias("largest"), F.max("n").alias("most"), F.max_by("class_id", small).alias("smallest"), F.min("n").alias("least"), (F.max("n") / F.min("n")).alias("ratio")).join(median, F.lit(True), "left")  # one row each
 
 
 def gini(counts: DataFrame, n="n") -> DataFrame:
@@ -37,9 +39,15 @@ def below(records: DataFrame, train=60, evaluation=30) -> DataFrame:
 
 
 def top_bottom(counts: DataFrame, k=10) -> DataFrame:
-    """The k largest and k smallest classes, ties by id."""
-    ranked = running(running(counts, [F.desc("n"), "class_id"], top=F.lit(1)), ["n", "class_id"], bottom=F.lit(1))
-    return ranked.where((F.col("top") < k) | (F.col("bottom") < k)).withColumns({c: (F.col(c) + 1).cast("int") for c in ("top", "bottom")})
+    """The k largest and k smallest classes with their places from above and from below, ties by id. Each end is a limited order; the places of the 2 k classes at most are counted in one pass over all."""
+    counts = checkpointed(counts)
+    ends = counts.orderBy(F.desc("n"), "class_id").limit(k).union(counts.orderBy("n", "class_id").limit(k)).distinct().collect()
+    if not ends:
+        return counts.withColumns({c: F.lit(0) for c in ("top", "bottom")})
+    n, name = F.col("n"), F.col("class_id")
+    before = lambda r: (F.count_if((n > r["n"]) | ((n == r["n"]) & (name < r["class_id"]))), F.count_if((n < r["n"]) | ((n == r["n"]) & (name < r["class_id"]))))
+    rows = counts.agg(F.array(*[F.struct(*[F.lit(r[c]).cast(counts.schema[c].dataType).alias(c) for c in counts.columns], *[(x + 1).cast("int").alias(c) for c, x in zip(("top", "bottom"), before(r))]) for r in ends]).alias("x"))
+    return rows.select(F.explode("x").alias("x")).select("x.*")
 
 
 def coverage(records: DataFrame, classes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harrow.functions.ranking import hash_rank
+from harrow.functions.ranking import hash_rank, running
 from harrow.functions.storage import checkpointed
 
 
@@ -47,15 +47,17 @@ def class_weights(records: DataFrame, classes: DataFrame, beta=0.999) -> DataFra
 
 
 def balanced_resample(records: DataFrame, seed=1337) -> DataFrame:
-    """A sample with replacement, about as many rows as the input, each class with an equal share: a row comes as often as a Poisson number of mean total / (classes * class size), drawn from a hash of its path."""
-    counts = records.groupBy("class_id").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
-    rows = records.join(counts, "class_id").crossJoin(F.broadcast(total)).withColumn("_mean", F.col("_total") / (F.col("_classes") * F.col("_n")))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "path")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
-    # by inversion: the number of terms of the distribution that u exceeds, over twelve standard deviations
-    step = F.aggregate(F.sequence(F.lit(0), (F.col("_mean") + 12 * F.sqrt("_mean") + 12).cast("int")), F.struct(F.exp(-F.col("_mean")).alias("p"), F.exp(-F.col("_mean")).alias("c"), F.lit(0).alias("k")),
-                       lambda a, i: F.when(u >= a["c"], F.struct((a["p"] * F.col("_mean") / (i + 1)).alias("p"), (a["c"] + a["p"] * F.col("_mean") / (i + 1)).alias("c"), (a["k"] + 1).alias("k"))).otherwise(a))["k"]
-    return rows.withColumn("_k", step).where("_k > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_n", "_total", "_classes", "_mean", "_k")
+    """A sample with replacement of exactly as many rows as the input, in which the classes' shares are equal up to one row: records with copy (from 1, of each row's draws).
+
+    Draw k, from 0, is of class k modulo the number of classes, in order of class id, and of the row there at the place that a hash of seed and k gives. Rows are placed by running sums over the order of class
+    and path, draws are counted by place, and both are joined on it; so no class is one task's, and reruns agree. No rows give no rows.
+    """
+    placed = checkpointed(running(records, ["class_id", "path"], _place=F.lit(1)))
+    classes = checkpointed(running(placed.groupBy("class_id").agg(F.min("_place").alias("_begin"), F.count(F.lit(1)).alias("_n")), ["class_id"], _c=F.lit(1)))
+    total, different = classes.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    draws = records.sparkSession.range(total or 0).select((F.col("id") % max(different, 1)).alias("_c"), F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long").alias("_h"))
+    times = draws.join(classes, "_c").groupBy((F.col("_begin") + F.col("_h") % F.col("_n")).alias("_place")).agg(F.count(F.lit(1)).cast("int").alias("_k"))
+    return placed.join(times, "_place").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_place", "_k")
 
 
 def systematic_sample(records: DataFrame, limit: int, by=("class_id", "path")) -> DataFrame:

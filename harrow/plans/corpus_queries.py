@@ -199,7 +199,10 @@ def class_weights(spark, sf_dir):
     return S.class_weights(by_lang(spark, sf_dir), ids).select("class_id", F.col("n").cast("long").alias("n"), F.round("weight", 6).alias("weight"))
 
 
-@query()
+@query(sql("records") + ", " + LANG + """, r AS (SELECT path, class_id, row_number() OVER (PARTITION BY class_id ORDER BY path) - 1 AS i FROM by_lang),
+c AS (SELECT class_id, count(*) AS n, row_number() OVER (ORDER BY class_id) - 1 AS c, count(*) OVER () AS m, (sum(count(*)) OVER ())::BIGINT AS total FROM by_lang GROUP BY 1),
+d AS (SELECT class_id, ('0x' || substr(md5('1337:' || k), 1, 15))::BIGINT % n AS i FROM c, range((SELECT any_value(total) FROM c)) t(k) WHERE k % m = c.c),
+t AS (SELECT class_id, i, count(*) AS k FROM d GROUP BY ALL) SELECT path, class_id, unnest(range(1, k + 1))::INT AS copy FROM r JOIN t USING (class_id, i)""")
 def balanced_resample(spark, sf_dir):
     return S.balanced_resample(by_lang(spark, sf_dir)).select("path", "class_id", "copy")
 

@@ -186,10 +186,17 @@ def latency_summary(spark, sf_dir):
     return rounded(M.latency_summary(view(spark, sf_dir, "latency")), "mean", "stdev")
 
 
-@query()
+TIERS = "k AS (SELECT *, threshold >= 3e-1 AS fl, coverage >= 5e-1 AS cv FROM risk), tr AS (SELECT *, CASE WHEN fl AND cv AND selective_error <= 1e-1 THEN 0 WHEN fl AND cv THEN 1 WHEN fl THEN 2 ELSE 3 END AS tier FROM k), best AS (SELECT threshold, round(coverage, 6) AS coverage, round(selective_error, 6) AS selective_error, tier::INT AS tier FROM tr ORDER BY tr.tier, CASE WHEN tr.tier = 0 THEN threshold ELSE tr.selective_error END, CASE WHEN tr.tier = 0 THEN 0 ELSE -tr.coverage END, threshold LIMIT 1)"
+
+
+@query("WITH " + REPORT + _bins_sql(15)[len(PRED):] + RISK[len(PRED):] + ", " + TIERS + """,
+su AS (SELECT round(sum(hit) / sum(support), 6) AS accuracy, round(avg(precision) FILTER (WHERE support > 0), 6) AS macro_precision, round(avg(recall) FILTER (WHERE support > 0), 6) AS macro_recall, round(avg(f1) FILTER (WHERE support > 0), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, count(*) FILTER (WHERE support > 0)::BIGINT AS seen, round(avg(recall) FILTER (WHERE support > 0), 6) AS balanced_accuracy FROM rep),
+ca AS (SELECT round(sum(n * abs(accuracy - confidence)) / sum(n), 6) AS ece FROM rel), cr AS (SELECT round(coalesce(sum(n) FILTER (WHERE y % 3 <> pred % 3), 0) / sum(n), 6) AS rate, round(sum(n) FILTER (WHERE y % 3 = pred % 3) / sum(n), 6) AS category_accuracy FROM conf)
+SELECT * FROM su, ca, cr, best""")
 def evaluation_report(spark, sf_dir):
     """Label, category, calibration and operating point of one persisted prediction table."""
-    return M.evaluation(checkpointed(predictions(spark, sf_dir)), categories(spark), K)
+    out = M.evaluation(checkpointed(predictions(spark, sf_dir)), categories(spark), K)
+    return rounded(out, *[f.name for f in out.schema.fields if f.dataType.simpleString() == "double" and f.name != "threshold"])
 
 
 # ---- novelty

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from harrow.sources.versions import read_tables, write_tables
 from pyspark.sql import types as T
 
 from harrow.functions import text as X
@@ -97,16 +99,19 @@ def union_sources(corpora: dict[str, DataFrame]) -> DataFrame:
 
 
 def save_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Tables of what was fitted, each in its folder."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    """Tables of what was fitted, as one new version: a reader has all of the one before or all of this one."""
+    write_tables(tables, path)
 
 
 def load_tables(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    return read_tables(spark, path, *names)
 
 
 def write_policy(row: DataFrame, path: str) -> DataFrame:
-    """Writes a re-tuned policy of one row as a table that replaces the one before, and returns it as read back."""
-    row.coalesce(1).write.mode("overwrite").parquet(path)
-    return row.sparkSession.read.parquet(path)
+    """Writes a re-tuned policy of one row as the version that replaces the one before, and returns it as read back."""
+    write_tables({"policy": row.coalesce(1)}, path)
+    return read_policy(row.sparkSession, path)
+
+
+def read_policy(spark: SparkSession, path: str) -> DataFrame:
+    return read_tables(spark, path, "policy")["policy"]

@@ -13,7 +13,7 @@ from harrow.operators import ingest as I
 from harrow.operators import metrics as M
 from harrow.operators import novelty as N
 from harrow.operators import profile as P
-from harrow.sources.manifests import write_policy
+from harrow.sources.manifests import read_policy, write_policy
 
 
 def test_running_sums(spark):
@@ -73,6 +73,26 @@ def test_refit_by_version(spark):
     assert got["v1"].shrinkage == pytest.approx(beta / delta) and got["v1"].threshold == pytest.approx(np.quantile(d, 0.975)) and got["v1"].in_reject == pytest.approx(np.mean(d > np.quantile(d, 0.975)))
 
 
+def test_refit_in_one_pass_equals_each_version_on_its_own(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(v, i, i % 4, (rng.standard_normal(d) + 3 * (i % 4 == np.arange(d) % 4) + 5).tolist()) for v, d in (("a", 6), ("b", 9), ("c", 6)) for i in range(120)] + [("lone", 1, 0, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "version string, id long, label int, embedding array<double>").repartition(7)
+    fitted = N.fit_versions(df, fan_in=2)
+    assert set(fitted) == {"a", "b", "c", "lone"} and fitted["lone"][3:] == (1.0, 1)
+    for v in "abc":
+        means, inverse, intensity = N.fit(df.where(F.col("version") == v).drop("version"))
+        labels, mu, mine, shrink, n = fitted[v]
+        assert labels == [0, 1, 2, 3] and n == 120 and shrink == pytest.approx(intensity, rel=1e-9) and np.allclose(mine, inverse, rtol=1e-8)
+        assert np.allclose(mu, np.array([list(r["mean"]) for r in means.orderBy("label").collect()]))
+    one = N.grouped_moments(df, most_bytes=1).orderBy("version", "label").collect()
+    whole = N.grouped_moments(df.coalesce(1)).orderBy("version", "label").collect()
+    assert len(one) == 13 and all(np.allclose(np.frombuffer(a.m), np.frombuffer(b.m)) for a, b in zip(one, whole))
+    x = N.noise(np.arange(5000), 8, 3)
+    assert abs(x.mean()) < 0.02 and abs(x.std() - 1) < 0.02 and (N.noise(np.arange(10), 8, 3) == x[:10]).all()
+
+
 def test_retuned_policy_is_written(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = []
@@ -92,8 +112,11 @@ def test_retuned_policy_is_written(spark, tmp_path):
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 4000))
     best = grid[np.argmin([loss(t) for t in grid])]
     assert back.temperature == pytest.approx(best, rel=0.02)
+    fine = best * np.exp(np.linspace(-2e-3, 2e-3, 4001))
+    assert back.temperature == pytest.approx(fine[np.argmin([loss(t) for t in fine])], rel=2e-6)
+    assert back.temperature == pytest.approx(M.fit_temperature(scored, most_passes=20, tolerance=1e-14), rel=1e-9)
     write_policy(M.retune(scored), str(tmp_path / "policy"))
-    assert spark.read.parquet(str(tmp_path / "policy")).count() == 1
+    assert read_policy(spark, str(tmp_path / "policy")).count() == 1
     classes = spark.createDataFrame([(i, i % 2, f"c{i}") for i in range(5)], "class_idx int, category int, class_id string")
     report = M.evaluation(M.predict(scored, float(best)), classes, 5).first()
     right = s.argmax(1)
@@ -117,3 +140,24 @@ def test_constraints_expire_on_a_stream(spark, tmp_path):
     stream = spark.readStream.schema("field_id string, ts timestamp, ttl_hours int").parquet(str(tmp_path / "in"))
     got = {r.field_id: (r.live, r.next_end) for r in finish(S.expiring(stream), "expiring", "update", ["field_id"]).collect()}
     assert got == {"f1": (1, day + dt.timedelta(hours=72)), "f2": (0, None), "f3": (1, day + dt.timedelta(days=3, hours=6))}
+
+
+def test_temperature_at_the_ends_and_of_nothing(spark):
+    sure = spark.createDataFrame([(i, i % 3, [4.0 * (k == i % 3) for k in range(3)]) for i in range(30)], "id long, y int, scores array<double>")
+    wrong = spark.createDataFrame([(i, (i + 1) % 3, [4.0 * (k == i % 3) for k in range(3)]) for i in range(30)], "id long, y int, scores array<double>")
+    assert M.fit_temperature(sure) == 0.05 and M.fit_temperature(wrong) == 20.0 and M.fit_temperature(sure.withColumn("y", F.lit(None).cast("int"))) == 1.0
+    passes = []
+    before = M.loss_slopes
+    try:
+        M.loss_slopes = lambda df, b: passes.append(len(b)) or before(df, b)
+        M.fit_temperature(sure.union(wrong.limit(7)))
+    finally:
+        M.loss_slopes = before
+    assert passes[0] == 12 and len(passes) <= 6
+
+
+def test_ends_and_latencies_of_nothing(spark):
+    assert P.top_bottom(spark.createDataFrame([], "class_id string, n long")).collect() == []
+    assert M.latency_summary(spark.createDataFrame([], "run string, latency_ms double")).collect() == []
+    one = M.latency_summary(spark.createDataFrame([("a", 5.0), ("b", 2.0), ("b", 2.0), ("b", 9.0)], "run string, latency_ms double")).orderBy("run").collect()
+    assert [(r.p50, r.p99, r.n) for r in one] == [(5.0, 5.0, 1), (2.0, 9.0, 3)]

@@ -144,10 +144,15 @@ def test_grouped_split_has_no_leak_and_covers_classes(spark):
         S.group_split(spark.createDataFrame(rows, "path string, class_id string, group_key string"), 0.6, 0.5)
 
 
-def test_balanced_resample_evens_classes(spark):
-    rows = [(f"a{i}", "a") for i in range(900)] + [(f"b{i}", "b") for i in range(100)]
-    got = S.balanced_resample(spark.createDataFrame(rows, "path string, class_id string")).groupBy("class_id").count().collect()
-    assert all(abs(r["count"] - 500) < 80 for r in got) and len(got) == 2
+def test_balanced_resample_is_exact(spark):
+    rows = [(f"a{i}", "a") for i in range(900)] + [(f"b{i}", "b") for i in range(100)] + [("c", "c")]
+    df = spark.createDataFrame(rows, "path string, class_id string")
+    got = S.balanced_resample(df).collect()
+    counts = {k: sum(r.class_id == k for r in got) for k in "abc"}
+    assert len(got) == 1001 and sorted(counts.values()) == [333, 334, 334] and counts["c"] == max(r.copy for r in got)
+    assert len({(r.path, r.copy) for r in got}) == 1001 and 240 < len({r.path for r in got if r.class_id == "a"}) < 334
+    assert sorted(map(tuple, S.balanced_resample(df.repartition(9)).collect())) == sorted(map(tuple, got)) != sorted(map(tuple, S.balanced_resample(df, seed=1).collect()))
+    assert S.balanced_resample(df.limit(0)).collect() == []
 
 
 def test_metrics_on_small_tables(spark):
