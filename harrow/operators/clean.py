@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,20 +46,35 @@ def difference_bits(values: Column, width=64) -> list[Column]:
     return [F.aggregate(F.slice(bits, 16 * j + 1, 16), F.lit(0), lambda a, b: a * 2 + b).alias(f"h{j}") for j in range(4)]
 
 
-def simhash(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h0..h3): a 64-bit SimHash of the space-separated tokens, as four 16-bit integers.
+def _votes(texts: list[str], at_once=200_000) -> np.ndarray:
+    """Of each text, how many of its tokens have each of the first 64 bits of their md5, and in a last column how many tokens it has. A token that several texts share is hashed once; at_once tokens are looked at together."""
+    numbers: dict[str, int] = {}
+    tokens, sizes = array("q"), []
+    for t in texts:
+        words = t.split(" ")
+        sizes.append(len(words))
+        tokens.extend([numbers.setdefault(w, len(numbers)) for w in words])
+    bits = np.unpackbits(np.frombuffer(b"".join(md5(w.encode()).digest()[:8] for w in numbers), np.uint8).reshape(-1, 8), axis=1)
+    text, token, out = np.repeat(np.arange(len(texts)), sizes), np.frombuffer(tokens, np.int64), np.zeros((len(texts), 65), np.int64)
+    for i in range(0, len(token), at_once):
+        mine = text[i:i + at_once]
+        first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        out[mine[first], :64] += np.add.reduceat(bits[token[i:i + at_once]], first, axis=0, dtype=np.int64)
+    out[:, 64] = sizes
+    return out
 
-    Each token is one row. Two of its 64 bits, 32 places apart, are counted in the halves of one sum, so 32 sums hold all votes; a half counts up to 2^32 - 1 tokens, more than a text can have.
-    """
-    tokens = rows.select(id_col, F.explode(F.split(text_col, " ")).alias("t")).select(id_col, F.md5("t").alias("m"))
-    half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("long")
-    words = tokens.select(id_col, F.shiftleft(half(1), 32).bitwiseOR(half(9)).alias("w"))
-    sums = [F.sum(F.shiftrightunsigned("w", b).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"s{b}") for b in range(32)]
-    votes = words.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), *sums)
-    set_in = {"upper": lambda b: F.shiftrightunsigned(f"s{b}", 32), "lower": lambda b: F.col(f"s{b}").bitwiseAND(F.lit((1 << 32) - 1))}
-    total = lambda cols: cols[0] if len(cols) == 1 else total(cols[: len(cols) // 2]) + total(cols[len(cols) // 2:])
-    parts = [("upper", 16), ("upper", 0), ("lower", 16), ("lower", 0)]
-    return votes.select(id_col, *[total([F.when(set_in[side](first + b) * 2 > F.col("n"), 1 << b).otherwise(0) for b in range(16)]).alias(f"h{j}") for j, (side, first) in enumerate(parts)])
+
+def simhash(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h0..h3): a 64-bit SimHash of the space-separated tokens, as four 16-bit integers; a bit is set if more than half of the tokens have it. Null texts have no row. Votes are counted where a text is, without a shuffle."""
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            votes = _votes(pdf["t"].tolist())
+            h = (votes[:, :64] * 2 > votes[:, 64:]).reshape(len(votes), 4, 16) @ (1 << np.arange(15, -1, -1))
+            yield pd.DataFrame({"i": pdf["i"], **{name: h[:, j] for j, name in enumerate(PRINT)}})
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    return texts.mapInPandas(prints, f"i {kind}, " + ", ".join(f"{h} int" for h in PRINT)).withColumnRenamed("i", id_col)
 
 
 def _banded(prints: DataFrame, most: int, bands: int, part_rows: int, largest_bucket: int | None = None) -> DataFrame:

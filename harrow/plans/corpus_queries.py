@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from harrow.functions.storage import checkpointed
 from harrow.operators import clean as C
 from harrow.operators import profile as P
+from harrow.operators import sketches as K
 from harrow.operators import split as S
 from harrow.plans.registry import query
 from harrow.plans.views import SOURCE_CLASSES, dim, sql, table, view
@@ -326,3 +330,20 @@ UNION ALL SELECT 12, (SELECT count(*) FROM n WHERE class_id NOT IN (SELECT class
 SELECT (row_number() OVER (ORDER BY i) - 1)::INT AS place, advice FROM rules WHERE t""")
 def eda_recommend(spark, sf_dir):
     return P.recommend(profile(spark, sf_dir))
+
+
+@query("SELECT name, n, least, most, true AS quantiles_within, true AS different_within FROM (SELECT 'n_chars' AS name, count(n_chars)::BIGINT AS n, min(n_chars)::DOUBLE AS least, max(n_chars)::DOUBLE AS most FROM documents UNION ALL SELECT 'bytes', count(text)::BIGINT, min(strlen(text))::DOUBLE, max(strlen(text))::DOUBLE FROM documents)")
+def eda_sketches(spark, sf_dir):
+    """A profile merged from one row for each source; whether its quantiles and numbers of different texts and languages are within their stated errors of the exact ones."""
+    measures, keys, at = {"n_chars": F.col("n_chars"), "bytes": F.octet_length("text")}, {"lang": F.col("lang"), "digest": F.md5("text")}, {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    docs = table(spark, sf_dir, "documents")
+    profile = checkpointed(K.merged(K.parts(docs, ["source"], measures, keys, k=800), list(measures), list(keys)))
+    found = K.quantiles_of(profile, list(measures), at)
+    values = docs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), e.cast("double").alias("x")) for c, e in measures.items()])).alias("v")).select("v.*").where("x IS NOT NULL")
+    below, upto = (lambda a: F.avg((F.col("x") < F.col(a)).cast("double"))), (lambda a: F.avg((F.col("x") <= F.col(a)).cast("double")))
+    error = K.RANK_ERROR[800]
+    within = [(below(a) - error <= q) & (F.lit(q) <= upto(a) + error) for a, q in at.items()]
+    exact = docs.agg(*[F.count_distinct(e).alias(c) for c, e in keys.items()])
+    close = K.distinct_of(profile, list(keys)).crossJoin(exact).groupBy().agg(F.bool_and(F.abs(F.col("different") - F.when(F.col("name") == "lang", F.col("lang")).otherwise(F.col("digest"))) <= K.DISTINCT_ERROR[12] * F.when(F.col("name") == "lang", F.col("lang")).otherwise(F.col("digest"))).alias("different_within"))
+    rows = values.join(found, "name").groupBy("name", "n", "least", "most").agg(reduce(and_, within).alias("quantiles_within"))
+    return rows.crossJoin(F.broadcast(close))  # one row each
