@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import md5
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -142,14 +144,19 @@ def spanning(left: np.ndarray, right: np.ndarray, most: int) -> list[tuple[int,
     return links
 
 
-def near_links(prints: DataFrame, most=4, bands=4, block_rows=1000) -> DataFrame:
+def near_links(prints: DataFrame, most=4, bands=4, block_rows=1000, few=64) -> DataFrame:
     """(a, b) of rows (path, h0..h3) that connects what near_pairs() connects: links within each bucket that span it, not its pairs.
 
-    The smallest path of a bucket is its hub; rows within `most` bits of it get one link to it. The others, strays, are compared with all rows of their bucket in pairs of blocks of block_rows, each a
+    A bucket of up to `few` rows is compared row by row in a join. In a larger one the smallest path is its hub; rows within `most` bits of it get one link to it. The others, strays, are compared with all rows of their bucket in pairs of blocks of block_rows, each a
     task's group of bounded size that returns a spanning set of its links. So a bucket of copies costs a row for each of its rows, and only strays cost comparisons with a bucket's rows; h0..h3 should differ between rows (near_components() sees to it).
     """
-    held = _banded(prints, most, bands, block_rows)
-    hubs = held.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", *PRINT)).alias("hub")).where("n >= 2")
+    held = checkpointed(_banded(prints, most, bands, block_rows))
+    sizes = checkpointed(held.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", *PRINT)).alias("hub")).where("n >= 2"))
+    small = held.join(sizes.where(F.col("n") <= few).select(*BUCKET), BUCKET)
+    a, b = small.alias("a"), small.alias("b")
+    same = reduce(and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in BUCKET])
+    pairs = a.join(b, same & (F.col("a.path") < F.col("b.path")) & (_differing("a", "b") <= most)).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
+    hubs = sizes.where(F.col("n") > few)
     met = checkpointed(held.alias("held").join(hubs, BUCKET).select(*BUCKET, "n", F.col("held.path").alias("path"), *[F.col(f"held.{h}").alias(h) for h in PRINT], F.col("hub.path").alias("hub"), (_differing("held", "hub") <= most).alias("near")))
     stars = met.where("near AND path <> hub").select(F.col("hub").alias("a"), F.col("path").alias("b")).distinct()
     stray = met.where("NOT near").select(*BUCKET, "n", "path", *PRINT)
@@ -170,7 +177,7 @@ def near_links(prints: DataFrame, most=4, bands=4, block_rows=1000) -> DataFrame
     kind = prints.schema["path"].dataType.simpleString()
     key = [*BUCKET, "l", "r"]
     joined = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, f"a {kind}, b {kind}")
-    return stars.union(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    return stars.union(pairs).union(joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def near_components(prints: DataFrame, most=4, bands=4, block_rows=1000) -> DataFrame:
