@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,15 @@ def summary(flags: Iterable[bool]) -> tuple:
     return out
 
 
+def summary_of(flags: np.ndarray) -> tuple:
+    """summary() of an array of booleans."""
+    edges = np.flatnonzero(np.diff(np.r_[False, flags, False]))
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
+        return len(flags), 0, 0, 0
+    return len(flags), int(lengths[0]) if flags[0] else 0, int(lengths[-1]) if flags[-1] else 0, int(lengths.max())
+
+
 def merged_columns(a: Column, b: Column) -> Column:
     """merged() of two structs (n, first, last, best)."""
     return F.struct(

@@ -4,9 +4,10 @@ import datetime as dt
 import random
 from functools import reduce
 
+import numpy as np
 import pytest
 
-from harrow.functions.runs import EMPTY, merged, summary
+from harrow.functions.runs import EMPTY, merged, summary, summary_of
 from harrow.operators import warning as W
 from harrow.streaming import warning as S
 from harrow.streaming.run import rocks
@@ -75,12 +76,27 @@ def test_stream_runs_equal_the_batch_in_any_order(spark, tmp_path):
         assert last == {(r.field_id, r.rule_class): (r.best_run, r.wet_hours) for r in want} and len(want) == 6
 
 
+def test_state_has_a_row_for_an_hour_not_for_a_reading(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(i, "f", NOW + dt.timedelta(seconds=9 * i), rng.choice([16.0, 3.0, None]), rng.choice([92.0, None]), rng.choice([0.5, None])) for i in range(1200)]
+    got, state = run(spark, tmp_path, [rows[::2], rows[1::2] + rows[:2]], WEATHER, lambda r: S.infection(r, RULES, late="6 hours"))  # two readings come twice
+    want = W.infection_runs(spark.createDataFrame(rows, WEATHER), spark.createDataFrame(RULES, W.RULES[0])).collect()
+    assert {r.rule_class: (r.best_run, r.wet_hours) for r in got} == {r.rule_class: (r.best_run, r.wet_hours) for r in want} and state < 20
+
+
 def test_runs_of_no_readings_or_rules(spark):
     weather = spark.createDataFrame([(1, "f", NOW, 16.0, 92.0, 1.0)], WEATHER)
     rules = spark.createDataFrame(RULES, W.RULES[0])
     assert W.infection_runs(weather.limit(0), rules).count() == 0 and W.infection_runs(weather, rules.limit(0)).count() == 0
 
 
+def test_summaries_of_arrays_are_those_of_flags():
+    rng = random.Random(3)
+    for n in range(60):
+        flags = [rng.random() < 0.6 for _ in range(n % 9)]
+        assert summary_of(np.array(flags, bool)) == summary(flags)
+
+
 def test_merging_summaries_is_associative():
     rng = random.Random(2)
     for _ in range(200):
