@@ -32,6 +32,8 @@ def _matrix(column, dims: int) -> np.ndarray:
 
 #: So many partial sums are added at once.
 FAN_IN = 64
+#: A round's filter lets a vector grow by this at most, relative to those it damps.
+MOST_GROWTH = 1e10
 
 
 def _blob(matrix: np.ndarray) -> pa.RecordBatch:
@@ -140,6 +142,9 @@ def leading(times, dims: int, count: int, guard=16, degree=16, tolerance=1e-13,
     Rayleigh-Ritz. It ends when the residual |Vu - eu| of each wanted pair is at most tolerance times the largest eigenvalue, or, once below a hundred times that, when rounding lets it fall no
     further; that bounds the distance of e to an eigenvalue, and that of u, over its gap. If that is not reached in most_rounds rounds, it raises. Guard vectors make the rate that of the gap to the value after the
     whole block. A block as large as the space needs no filter. Vectors have their largest entry positive.
+
+    A filter of full degree would blow up the vector of an eigenvalue far above the others (that of many copies, say) until rounding leaves nothing else in the block. So a round's degree is the largest that amplifies by MOST_GROWTH
+    at most, and leading pairs that have converged are projected out of each step; they stay in the block as they are.
     """
     rng = np.random.default_rng(seed)
     width, passes = min(dims, count + guard), [0]
@@ -157,19 +162,25 @@ def leading(times, dims: int, count: int, guard=16, degree=16, tolerance=1e-13,
         e, z = np.linalg.eigh((h + h.T) / 2)
         e, z = e[::-1], z[:, ::-1]
         u, vu = q @ z, w @ z
-        before, worst = worst, np.linalg.norm(vu - u * e, axis=0)[:count].max()
+        residuals = np.linalg.norm(vu - u * e, axis=0)[:count]
+        before, worst = worst, residuals.max()
         if worst <= tolerance * e[0] or (worst <= 100 * tolerance * e[0] and worst > before / 4):
             u = u[:, :count]
             return e[:count], u * np.sign(u[np.abs(u).argmax(axis=0), range(u.shape[1])]), {"rounds": rounds + 1, "passes": passes[0], "residual": float(worst)}
-        high = max(e[-1], low + 1e-6 * e[0])
+        done = int((residuals <= tolerance * e[0]).cumprod().sum())
+        kept, u, vu = u[:, :done], u[:, done:], vu[:, done:]
+        high = max(e[-1] if e[done] - e[-1] > 1e-6 * e[0] else (low + e[-1]) / 2, low + 1e-6 * e[0])  # what is left of the block is one value: damp what lies well below it
         centre, half = (high + low) / 2, (high - low) / 2
-        first = half / (max(e[0], high * (1 + 1e-6)) - centre)
-        ratio, old, new = first, u, (vu - centre * u) * (first / half)
-        for _ in range(degree - 1):
+        top = (max(e[done], high * (1 + 1e-6)) - centre) / half
+        steps = max(1, min(degree, int(np.log(2 * MOST_GROWTH) / np.arccosh(top))))
+        left = lambda y: y - kept @ (kept.T @ y)
+        first = 1 / top
+        ratio, old, new = first, u, left(vu - centre * u) * (first / half)
+        for _ in range(steps - 1):
             after = 1 / (2 / first - ratio)
-            old, new = new, (counted(new) - centre * new) * (2 * after / half) - ratio * after * old
+            old, new = new, (left(counted(new)) - centre * new) * (2 * after / half) - ratio * after * old
             ratio = after
-        q = np.linalg.qr(new)[0]
+        q = np.linalg.qr(np.c_[kept, left(new)])[0]
     raise ValueError(f"residual {worst} after {most_rounds} rounds")
 
 

@@ -75,3 +75,20 @@ def test_close_eigenvalues_converge():
     assert np.allclose(values, e[:8], atol=1e-13) and np.abs(np.abs(u[:, :8].T @ axes) - np.eye(8)).max() < 1e-9 and facts["residual"] < 1e-11
     with pytest.raises(ValueError, match="rounds"):
         leading(lambda q: a @ q, 120, 8, most_rounds=1)
+
+
+@pytest.mark.parametrize("first", [[103_600.0, 34_200.0], [1e9], [2e6, 1.9e6, 1e5]])
+def test_a_value_far_above_the_others_does_not_drown_them(first):
+    rng = np.random.default_rng(2)
+    spectrum = np.array([*first, *np.linspace(17_600, 12_200, 64 - len(first))])
+    q = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    v = q * spectrum @ q.T
+    e, u, facts = leading(lambda x: v @ x, 64, 8)
+    assert np.abs(e - spectrum[:8]).max() < 1e-10 * e[0] and np.abs(v @ u - u * e).max() < 1e-10 * e[0] and facts["passes"] < 100
+
+
+def test_more_equal_values_than_the_block_holds():
+    q = np.linalg.qr(np.random.default_rng(3).standard_normal((62, 62)))[0]
+    v = q * np.array([5.0] * 30 + [1.0] * 32) @ q.T
+    e, u, _ = leading(lambda x: v @ x, 62, 8)
+    assert np.abs(e - 5).max() < 1e-12 and np.abs(v @ u - u * e).max() < 1e-12
