@@ -36,7 +36,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).alias("text"))
 
 
-def _later(found: DataFrame, lines=1) -> DataFrame:
+def _later(found: DataFrame, lines: int | Column = 1) -> DataFrame:
     """The rows (doc_id, rid, j, key, body, ...) whose body equals, byte for byte, that of the earliest row of their key, and which share none of their `lines` lines with it."""
     first = found.groupBy("key").agg(F.min(F.struct("doc_id", "rid", "j", "body")).alias("first"))
     there = F.struct("doc_id", "rid").eqNullSafe(F.struct("first.doc_id", "first.rid")) & (F.col("j") < F.col("first.j") + lines)
@@ -76,28 +76,42 @@ def drop_repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", divi
     return _kept(docs, gone, id_col, text_col, carry)
 
 
-def drop_repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _repeated_chunks(rows: DataFrame, divisor: int) -> DataFrame:
+    """(doc_id, rid, j, n, body) of the content-defined chunks that equal, byte for byte, an earlier one which they don't overlap. Chunk keys are counted globally; only bodies of keys that occur twice are fetched."""
+    keys = rows.select("rid", F.explode(chunks(F.col("text"), divisor, False)).alias("c")).groupBy("c.key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    found = rows.select("doc_id", "rid", F.explode(chunks(F.col("text"), divisor, True)).alias("c")).select("doc_id", "rid", "c.*")
+    return _later(cut(join_few(found, keys, "key", "left_semi")), F.col("n"))
+
+
+def drop_repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", carry: tuple[str, ...] = (), divisor=3) -> DataFrame:
     """Removes each run of two or more lines that stands, byte for byte, earlier (by id, then place): columns and edge cases as drop_repeated_chunks().
 
-    The rolling hash over the hashes of a line and the line before marks a boundary; here each place is one (divisor 1), and its chunk is the two lines that the hash is made of, as a run of two lines has one
-    place inside it: a boundary at every d-th place only would miss all but 1 of d such runs. A chunk that repeats is compared with the earliest one byte for byte; a run that repeats is one whose chunks all do, so every repeated run is removed up to its last line, whatever
-    stands around it. A single line that repeats stays. So does a chunk that overlaps the earliest one (of three equal lines in a row none goes, of four the last two), and two
-    blank lines are no chunk. Places are judged on the input: what an earlier document loses still counts as standing there.
+    First come the content-defined chunks of drop_repeated_chunks(), cut by the rolling hash: one that repeats whole goes. Of a passage whose boundaries lie outside it chunks see nothing, or only its middle; an exact pass over the
+    pairs of neighbouring lines that no such chunk has taken follows. A pair that repeats is compared with the earliest one byte for byte; a run that repeats is one whose pairs all do, so every repeated run is removed up to its last line, whatever
+    stands around it. A single line that repeats stays. So does a chunk or pair that overlaps the earliest one (of three equal lines in a row none goes, of four the last two), and two
+    blank lines next to each other are no pair, in a chunk neither. Places are judged on the input: what an earlier document loses still counts as standing there.
 
-    Chunks are counted by hash as narrow rows; only the bodies of chunks whose hash occurs twice are fetched and compared.
+    The earliest place of a pair is in no chunk that goes, so the second pass may leave those out. Pairs are counted by hash as narrow rows; only the bodies of pairs whose hash occurs twice are fetched and compared.
     """
+    def solid(c: Column) -> Column:
+        """The places of a chunk's pairs that are not blank."""
+        return let(F.split(c["body"], "\n"), lambda lines: F.filter(F.sequence(F.lit(0), c["n"] - 2), lambda i: F.concat(F.get(lines, i), F.get(lines, i + 1)).rlike(r"[^\x20\x09-\x0D]")))
+
     def pairs(lines: Column, made) -> Column:
         n = F.greatest(F.size(lines) - 1, F.lit(0))
         return F.zip_with(F.slice(lines, F.lit(1), n), F.slice(lines, F.lit(2), n), made)
 
     rolling = lambda a, b: F.when(F.concat(a, b).rlike(r"[^\x20\x09-\x0D]"), F.xxhash64(a, b))
     rows = _rows(docs, id_col, text_col)
+    taken = _repeated_chunks(rows, divisor).select("doc_id", "rid", "j", F.explode(solid(F.struct("n", "body"))).alias("i"))
+    taken = cut(taken.select("doc_id", "rid", (F.col("j") + F.col("i")).alias("j")).distinct())
     hashed = rows.select("doc_id", "rid", F.posexplode(let(F.split("text", "\n"), lambda lines: pairs(lines, rolling))).alias("j", "h")).where("h IS NOT NULL")
+    hashed = join_few(hashed, taken.select("rid", "j").distinct(), ["rid", "j"], "left_anti")
     twice = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
     places = join_few(hashed, twice, "h", "left_semi").groupBy("doc_id", "rid").agg(F.collect_set("j").alias("places"))
     both = rows.alias("a").join(places.alias("b"), (F.col("a.rid") == F.col("b.rid")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")))
     bodies = let(F.split("a.text", "\n"), lambda lines: F.transform("b.places", lambda j: F.struct(j.alias("j"), F.concat(F.get(lines, j), F.lit("\n"), F.get(lines, j + 1)).alias("body"))))
     found = cut(both.select("a.doc_id", "a.rid", F.explode(bodies).alias("c")).select("doc_id", "rid", "c.*").withColumn("key", F.md5("body")))
-    lines = _later(found, 2).groupBy("doc_id", "rid").agg(F.array_distinct(F.flatten(F.collect_set(F.array("j", F.col("j") + 1)))).alias("lines"))
+    lines = _later(found, 2).select("doc_id", "rid", "j").unionByName(taken).groupBy("doc_id", "rid").agg(F.array_distinct(F.flatten(F.collect_set(F.array("j", F.col("j") + 1)))).alias("lines"))
     gone = lines.select("doc_id", "rid", F.transform("lines", lambda j: F.struct(j.alias("j"), F.lit(1).alias("n"))).alias("gone"))
     return _kept(docs, gone, id_col, text_col, carry)

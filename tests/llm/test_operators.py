@@ -524,3 +524,16 @@ def test_quality_learns_from_so_many_rows_at_most(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
     quality.fit(docs_of(spark, docs), labels, most=20)
     assert seen == [20]
+
+
+def test_line_runs_go_through_content_defined_chunks(spark, monkeypatch):
+    from harrow.llm import line_dedup
+
+    asked, found = [], []
+    chunks, repeated = line_dedup.chunks, line_dedup._repeated_chunks
+    monkeypatch.setattr(line_dedup, "chunks", lambda text, divisor, with_text: asked.append(divisor) or chunks(text, divisor, with_text))
+    monkeypatch.setattr(line_dedup, "_repeated_chunks", lambda rows, divisor: found.append(repeated(rows, divisor)) or found[0])
+    passage = "\n".join(f"line {i}" for i in range(40))
+    got = {r.doc_id: r for r in drop_repeated_runs(docs_of(spark, [(1, "a\n" + passage), (2, "b\n" + passage + "\nc"), (3, "\n\n\n\n\n"), (4, "x\n\n\n\n\n\n")])).collect()}
+    assert asked == [3, 3] and sum(r.n for r in found[0].where("doc_id = 2").collect()) > 20
+    assert (got[2].kept_text, got[2].n_removed, got[1].n_removed, got[3].n_removed, got[4].n_removed) == ("b\nc", 40, 0, 0, 0)
