@@ -106,3 +106,22 @@ def test_merging_summaries_is_associative():
         best = max((len(x) for x in "".join("x" if f else " " for f in flags).split()), default=0)
         left, right = reduce(merged, parts, EMPTY), reduce(lambda b, a: merged(a, b), reversed(parts), EMPTY)
         assert left == right == summary(flags) and left[3] == best
+
+
+def test_pairs_of_a_busy_field_cost_packs(spark, tmp_path):
+    """Detections and readings of one field and span are packed in the state, over several batches, and give the pairs of brute force."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice("cd"), rng.choice(["f", "g", None]), NOW + dt.timedelta(minutes=rng.choice([0, 360, 720, rng.randrange(1500)])), rng.random() < 0.5) for i in range(900)] + [(900, "c", "f", None, True), (901, None, "f", NOW, True), (901, None, "f", NOW, False)]
+    schema, got = "event_id long, class_id string, field_id string, ts timestamp, camera boolean", []
+    for part in (rows[:700], rows[700:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    pairs = S.agree(read.where("camera").select("event_id", "class_id", "field_id", "ts"), read.where("not camera").select("event_id", "field_id", "ts"))
+    with rocks(spark):
+        q = pairs.writeStream.outputMode("append").foreachBatch(lambda df, i: got.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    state = max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress)
+    want = [(a, b, c, f) for a, c, f, ts, camera in rows for b, _, g, read, other in rows if camera and not other and f and f == g and ts and read and read <= ts <= read + dt.timedelta(hours=6)]
+    order = lambda pairs: sorted(pairs, key=str)
+    assert order(tuple(r) for r in got) == order(want) and len(want) > 15_000
+    assert state < 100 < len(rows)  # before: a row for each detection and two for each reading
