@@ -33,7 +33,7 @@ LANG = "by_lang AS (SELECT * REPLACE (source AS class_id) FROM records)"
 def facts(spark, sf_dir):
     f = view(spark, sf_dir, "facts")
     prints = C.simhash(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"), "path", "text")
-    return f.join(prints, "path", "left")
+    return f.drop("mode").join(prints, "path", "left")
 
 
 def cleaned(spark, sf_dir):
@@ -72,7 +72,7 @@ def defect_filter(spark, sf_dir):
 
 
 def _exact(spark, sf_dir):
-    rows = records(spark, sf_dir).join(view(spark, sf_dir, "facts").drop("class_id"), "path", "left").withColumn("defect", C.defect(**LIMITS))
+    rows = C.measured(records(spark, sf_dir), view(spark, sf_dir, "facts").drop("mode")).withColumn("defect", C.defect(**LIMITS))
     return C.exact_duplicates(rows.where("defect IS NULL"))
 
 

@@ -215,3 +215,19 @@ def test_near_pairs_of_large_buckets_equal_brute_force(spark):
     by = {p[0]: p[1:] for p in prints}
     assert got() == got(block_rows=7) == {(p, q) for p, q in want if any(x == y for x, y in zip(by[p], by[q]))} != want
     assert ("p0", "q0") in got() and ("p0", "q0") not in got(largest_bucket=2000)
+
+
+def test_cleaning_measures_each_asset_once_and_counts_rows_without_a_class(spark):
+    """Facts are computed once, whatever is asked of the cleaned rows; before, a filter, a first copy, a print and each count of class_loss() computed them again, and a null class had two rows."""
+    rows = spark.createDataFrame([(f"p{i:02d}", None if i % 5 == 0 else "ab"[i % 2], i, i % 8) for i in range(40)], "path string, class_id string, source_rank int, k int").repartition(4)
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def measure(k):
+        calls.add(1)
+        return k
+
+    facts = rows.select("path", F.lit(True).alias("ok"), *[(measure("k") + n).alias(c) for c, n in (("width", 30), ("height", 30))], F.lit(20.0).alias("std"), F.lit(1.0).alias("sharpness"), F.format_string("%d", "source_rank").alias("content_hash"), *[(F.col("k") * 4099 * (j + 1) % 65536).cast("int").alias(f"h{j}") for j in range(4)])
+    loss = {r.class_id: (r.dropped, r.kept) for r in C.class_loss(C.clean(rows.drop("k"), facts)[0]).collect()}
+    assert sum(map(sum, loss.values())) == 40 and len(loss) == 3 and sum(loss[None]) == 8
+    assert calls.value <= 80  # once for each of the two columns
