@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harrow.functions.storage import tasks_for
 from harrow.llm.common import cut, small_batches
 from harrow.llm.wordhash import U, Words, batches, mix, rolling
 
@@ -104,14 +105,18 @@ def _similarity(a: bytes, b: bytes) -> float:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label): the smallest id that each id of an edge (a, b) is connected with. Labels are passed along edges and then to their labels' labels, until none changes."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """(v, label): the smallest id that each id of an edge (a, b) is connected with. Labels are passed along edges and then to their labels' labels, until none changes; few edges take few tasks."""
+    both = cut(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
+    tasks = tasks_for(both)
+    both = both.coalesce(tasks)
+    few = F.broadcast if tasks == 1 else lambda rows: rows
     labels = cut(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("label")).withColumnRenamed("a", "v"))
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "v")
-        step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("to"))
+        labels = labels.coalesce(tasks)
+        near = both.join(few(labels.withColumnRenamed("v", "b")), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "v")
+        step = labels.join(few(near), "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         heads = labels.select(F.col("v").alias("to"), F.col("label").alias("beyond"))
-        labels = cut(step.join(heads, "to", "left").select("v", "old", F.least("to", F.coalesce("beyond", "to")).alias("label")))
+        labels = cut(step.join(few(heads), "to", "left").select("v", "old", F.least("to", F.coalesce("beyond", "to")).alias("label")))
         if labels.where("old <> label").isEmpty():
             return labels.select("v", "label")
         labels = labels.select("v", "label")
@@ -155,6 +160,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k=5, leas
     members = cut(keyed.join(buckets, "key").select("hub", "node", "total").distinct())
     sets = _sets(text, texts.join(members.select("node").distinct(), "node").select("node", "h", "least"), k)
     edges = cut(_compare(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")), sets).where(F.col("s") >= least).select("a", "b"))
+    edges = edges.coalesce(tasks_for(edges))
     labels = components(edges)
     more = cut(_between_classes(members, labels, sets, least))
     if not more.isEmpty():
