@@ -178,7 +178,7 @@ def leading(times, dims: int, count: int, guard=16, degree=16, tolerance=1e-13,
         ratio, old, new = first, u, left(vu - centre * u) * (first / half)
         for _ in range(steps - 1):
             after = 1 / (2 / first - ratio)
-            old, new = new, (left(counted(new)) - centre * new) * (2 * after / half) - ratio * after * old
+            old, new = new, left(counted(new) - centre * new) * (2 * after / half) - ratio * after * old  # projected as a whole: of V's part alone the rest is an eigenvalue 0, which lies far below a narrow spectrum, and rounding would grow along kept
             ratio = after
         q = np.linalg.qr(np.c_[kept, left(new)])[0]
     raise ValueError(f"residual {worst} after {most_rounds} rounds")

@@ -92,3 +92,13 @@ def test_more_equal_values_than_the_block_holds():
     v = q * np.array([5.0] * 30 + [1.0] * 32) @ q.T
     e, u, _ = leading(lambda x: v @ x, 62, 8)
     assert np.abs(e - 5).max() < 1e-12 and np.abs(v @ u - u * e).max() < 1e-12
+
+
+@pytest.mark.parametrize("n", [8e5, 1.5e7, 1e9])
+def test_a_narrow_spectrum_converges(n):
+    """Many vectors without a preferred direction: the values come together as 1 / sqrt(n), and 0 is far below all of them."""
+    rng = np.random.default_rng(1)
+    g = rng.standard_normal((64, 64))
+    v = 16_384 * (np.eye(64) + (g + g.T) / np.sqrt(2 * n))
+    e, u, facts = leading(lambda x: v @ x, 64, 8)  # before: an error after 60 rounds
+    assert facts["passes"] < 100 and np.abs(e - np.linalg.eigvalsh(v)[::-1][:8]).max() < 1e-12 * e[0] and np.abs(v @ u - u * e).max() < 1e-12 * e[0] and np.abs(u.T @ u - np.eye(8)).max() < 1e-12
