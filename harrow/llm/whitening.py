@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,46 @@ def _matrix(column, dims: int) -> np.ndarray:
     return flat.reshape(-1, dims)
 
 
+#: Columns of packed vectors: the narrowest that holds a block's integers holds it.
+WIDTHS = {"i2": np.dtype("<i2"), "i4": np.dtype("<i4"), "i8": np.dtype("<i8")}
+#: Blocks are so large that an Arrow batch of them has about so many bytes.
+BATCH_BYTES = 32 << 20
+
+
+def packed(rows: DataFrame, offset: int) -> DataFrame:
+    """(dims, ids, i2, i4, i8) of rows (vec_id, x): blocks of vectors of one length, x - offset as bytes in one of the three columns, the others empty.
+
+    A pass over them moves bytes, where one over arrays would convert each entry twice. Nothing is shuffled. Other lengths in a batch stop the job.
+    """
+    most = int(rows.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    block_bytes = BATCH_BYTES // (most if most > 0 else 10_000)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            dims = len(b.column(1)[0])
+            x = _matrix(b.column(1), dims) - offset
+            name, kind = next((w, k) for w, k in WIDTHS.items() if np.iinfo(k).min <= x.min() and x.max() <= np.iinfo(k).max)
+            each = max(1, block_bytes // (dims * kind.itemsize))
+            edges = np.r_[np.arange(0, len(x), each), len(x)].astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges * np.int32(dims * kind.itemsize)), pa.py_buffer(np.ascontiguousarray(x.astype(kind)))])
+            none = pa.array([b""] * len(data), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([dims] * len(data), pa.int32()), pa.ListArray.from_arrays(pa.array(edges), b.column(0)), *[data if w == name else none for w in WIDTHS]], ["dims", "ids", *WIDTHS])
+
+    ids = T.StructField("ids", T.ArrayType(rows.schema["vec_id"].dataType))
+    return rows.select("vec_id", "x").mapInArrow(pack, T.StructType([T.StructField("dims", T.IntegerType()), ids, *[T.StructField(w, T.BinaryType()) for w in WIDTHS]]))
+
+
+def unpacked(batch: pa.RecordBatch, dims: int, at_once=256) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(blocks, their vectors as rows of integers), up to at_once blocks of one width at a time."""
+    for name, kind in WIDTHS.items():
+        some = batch.filter(pc.greater(pc.binary_length(batch.column(name)), 0))
+        for i in range(0, some.num_rows, at_once):
+            blocks = some.slice(i, at_once)
+            yield blocks, np.frombuffer(b"".join(blocks.column(name).to_pylist()), kind).reshape(-1, dims)
+
+
 #: So many partial sums are added at once.
 FAN_IN = 64
 #: A round's filter lets a vector grow by this at most, relative to those it damps.
@@ -41,7 +84,7 @@ def _blob(matrix: np.ndarray) -> pa.RecordBatch:
 
 
 class Centred:
-    """Distributed sums over the centred vectors of a table (x: arrays of longs).
+    """Distributed sums over the centred vectors of a table of blocks (packed()).
 
     The mean is kept as whole part and remainder, so that a centred entry has the precision of its own size and not of the offset's. Each pass reads the table once, without a shuffle of its rows;
     a partition gives one matrix whose size follows the dimensions and not the vectors, and these are added up in a tree.
@@ -52,16 +95,15 @@ class Centred:
 
         def sums(batches):
             n, total = 0, [0] * dims
-            for b in batches:
-                x = _matrix(b.column(0), dims)
-                step = 1 << 9 if np.abs(x).max(initial=0) >= 1 << 40 else 1 << 20  # sums of so many stay within a long
+            for _, x in (m for b in batches for m in unpacked(b, dims)):
+                step = 1 << 9 if x.dtype.itemsize == 8 and np.abs(x).max(initial=0) >= 1 << 40 else 1 << 20  # sums of so many stay within a long
                 for i in range(0, len(x), step):
-                    total = [t + int(s) for t, s in zip(total, x[i:i + step].sum(axis=0))]
+                    total = [t + int(s) for t, s in zip(total, x[i:i + step].sum(axis=0, dtype=np.int64))]
                 n += len(x)
             if n:
                 yield pa.RecordBatch.from_pydict({"dim": pa.array(range(dims), pa.int32()), "n": pa.array([n] * dims, pa.int64()), "total": pa.array(map(str, total), pa.string())})
 
-        found = rows.select("x").mapInArrow(sums, "dim int, n long, total string").groupBy("dim").agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()
+        found = rows.select(*WIDTHS).mapInArrow(sums, "dim int, n long, total string").groupBy("dim").agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total")).collect()
         self.n = found[0]["n"]
         self.sums = [int(t) for _, t in sorted((r["dim"], r["total"]) for r in found)]
         self.whole = np.array([s // self.n for s in self.sums], np.int64)
@@ -69,19 +111,18 @@ class Centred:
         self.part = np.array([r / self.n for r in self.left])
 
     def centre(self):
-        dims, whole, part = self.dims, self.whole, self.part
-        return lambda column: (_matrix(column, dims) - whole) - part
+        whole, part = self.whole, self.part
+        return lambda x: (x - whole) - part
 
     def _added(self, width: int, per_batch) -> np.ndarray:
         """The sum of per_batch(centred rows), a matrix of fixed size with `width` columns, over all batches: one for each partition, then FAN_IN at a time on the workers until at most FAN_IN are left for the driver."""
-        centre = self.centre()
+        centre, dims = self.centre(), self.dims
 
         def partial(batches):
             total = None
-            for b in batches:
-                if b.num_rows:
-                    one = per_batch(centre(b.column(0)))
-                    total = one if total is None else total + one
+            for _, x in (m for b in batches for m in unpacked(b, dims)):
+                one = per_batch(centre(x))
+                total = one if total is None else total + one
             if total is not None:
                 yield _blob(total)
 
@@ -90,7 +131,7 @@ class Centred:
             if blobs:
                 yield _blob(sum(np.frombuffer(m) for m in blobs))
 
-        parts, n = self.rows.select("x").mapInArrow(partial, "m binary"), self.partitions
+        parts, n = self.rows.select(*WIDTHS).mapInArrow(partial, "m binary"), self.partitions
         while n > FAN_IN:
             n = -(-n // FAN_IN)
             parts = parts.repartition(n).mapInArrow(together, "m binary")
@@ -184,11 +225,27 @@ def leading(times, dims: int, count: int, guard=16, degree=16, tolerance=1e-13,
     raise ValueError(f"residual {worst} after {most_rounds} rounds")
 
 
-def whiten(vectors: DataFrame, id_col="vec_id", vec_col="embedding", components=8, scale=1024, offset=100_000, **method) -> DataFrame:
+def deviations(x: np.ndarray, n: int, left: list[int], exact=False) -> pa.Array:
+    """Of each row the exact sum of (n x - left)^2 over the dimensions, for whole x: as longs, of which one that does not fit raises, or, if exact, as decimals of 38 digits."""
+    dims, most, kind = x.shape[1], int(np.abs(x).max(initial=0)), pa.decimal128(38, 0) if exact else pa.int64()
+    if max(most, n) * most * dims < 1 << 62 and n < 1 << 62:
+        squares, cross, rest = (x * x).sum(axis=1), (x * np.array(left, np.int64)).sum(axis=1), sum(r * r for r in left)
+        if n * n * int(squares.max(initial=1)) + 2 * n * int(np.abs(cross).max(initial=0)) + rest < 1 << 62:
+            return pa.array(n * n * squares - 2 * n * cross + rest, pa.int64()).cast(kind)
+        found = [n * n * a - 2 * n * b + rest for a, b in zip(squares.tolist(), cross.tolist())]
+    else:
+        found = ((x.astype(object) * n - np.array(left, object)) ** 2).sum(axis=1).tolist()
+    if max(found, default=0) >= (10 ** 38 if exact else 1 << 63):
+        raise ValueError("a deviation is beyond 38 digits" if exact else "a deviation is beyond a long")
+    return pa.array(found, kind)
+
+
+def whiten(vectors: DataFrame, id_col="vec_id", vec_col="embedding", components=8, scale=1024, offset=100_000, exact=False, **method) -> DataFrame:
     """(vec_id, component, n, deviation, whitened, explained, identity_error): a row for each vector and leading component.
 
-    x-vectors are integers() of all sound vectors, kept once as Parquet in the shared folder; the fit is over all of them, with exact sums S. deviation is the exact sum of (n x - S)^2 over the
-    dimensions (one beyond a long stops the job), whitened the centred x on the component's unit eigenvector over the root of its eigenvalue, explained that eigenvalue's share of the trace,
+    x-vectors are integers() of all sound vectors, kept once, packed, as Parquet in the shared folder; the fit is over all of them, with exact sums S. deviation is the exact sum of (n x - S)^2 over the
+    dimensions; as that grows with the square of n, it leaves a long from some 3,000,000 vectors of length 1 on. One beyond a long stops the job, unless exact is set: then a last column, deviation_exact, has each as a decimal of 38 digits (one
+    beyond that stops the job), and deviation is null where it is no long. whitened the centred x on the component's unit eigenvector over the root of its eigenvalue, explained that eigenvalue's share of the trace,
     identity_error the largest entry of whitened's covariance less the identity.
 
     Null, empty and non-finite vectors give no rows; null ids and repeated rows are rows as all others. Components whose eigenvalue is 0 up to rounding (1e-12 of the largest) are left out, so
@@ -196,14 +253,16 @@ def whiten(vectors: DataFrame, id_col="vec_id", vec_col="embedding", components=
     """
     spark = vectors.sparkSession
     path = shared_path(spark, "whitening")
-    integers(vectors, id_col, vec_col, scale, offset).write.parquet(path)
+    packed(integers(vectors, id_col, vec_col, scale, offset), offset).write.parquet(path)
     rows = spark.read.parquet(path)
-    id_type = rows.schema["vec_id"].dataType
-    schema = T.StructType([T.StructField("vec_id", id_type), T.StructField("deviation", T.LongType()), T.StructField("whitened", T.ArrayType(T.DoubleType()))])
-    some = rows.select(F.size("x").alias("d")).first()
+    measure = T.DecimalType(38, 0) if exact else T.LongType()
+    schema = T.StructType([T.StructField("vec_id", rows.schema["ids"].dataType.elementType), T.StructField("exactly", measure), T.StructField("whitened", T.ArrayType(T.DoubleType()))])
+    least, most = rows.agg(F.min("dims"), F.max("dims")).first()
+    if least != most:
+        raise ValueError(f"vectors have different lengths, {least} to {most}")
     values, axes, n, trace, error = np.zeros(0), None, 0, 1.0, 0.0
-    if some:
-        table = Centred(rows, some["d"])
+    if least:
+        table = Centred(rows, least)
         n, trace = table.n, table.trace()
         if trace > 0:
             values, axes, _ = leading(table.times, table.dims, min(components, table.dims), **method)
@@ -216,19 +275,13 @@ def whiten(vectors: DataFrame, id_col="vec_id", vec_col="embedding", components=
         centre, dims, whole, left = table.centre(), table.dims, table.whole, table.left
 
         def project(batches):
-            for b in batches:
-                x = _matrix(b.column(1), dims) - whole
-                if float(np.abs(x).max(initial=0) + 1) ** 2 * float(n) ** 2 * dims < 2.0 ** 62:
-                    deviation = ((x * n - np.array(left)) ** 2).sum(axis=1)
-                else:
-                    deviation = ((x.astype(object) * n - np.array(left, object)) ** 2).sum(axis=1)
-                    if max(deviation) >= 1 << 63:
-                        raise ValueError("a deviation is beyond a long")
-                z = np.ascontiguousarray(centre(b.column(1)) @ axes)
+            for blocks, x in (m for b in batches for m in unpacked(b, dims)):
+                z = np.ascontiguousarray(centre(x) @ axes)
                 spots = pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(deviation.tolist(), pa.int64()), pa.ListArray.from_arrays(spots, pa.array(z.ravel()))], names=["vec_id", "deviation", "whitened"])
+                yield pa.RecordBatch.from_arrays([blocks.column("ids").flatten(), deviations(x - whole, n, left, exact), pa.ListArray.from_arrays(spots, pa.array(z.ravel()))], names=["vec_id", "exactly", "whitened"])
 
-        done = rows.select("vec_id", "x").mapInArrow(project, schema)
+        done = rows.select("ids", *WIDTHS).mapInArrow(project, schema)
+    deviation = F.when(F.col("exactly") <= F.lit((1 << 63) - 1), F.col("exactly")).cast("long").alias("deviation") if exact else F.col("exactly").alias("deviation")
     share = F.get(F.array(*[F.lit(float(v / trace)) for v in values]), F.col("at")) if len(values) else F.lit(None).cast("double")
-    spread = done.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
-    return spread.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
+    spread = done.select("vec_id", deviation, F.posexplode("whitened").alias("at", "whitened"), "exactly")
+    return spread.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"), *[F.col("exactly").alias("deviation_exact")] * exact)

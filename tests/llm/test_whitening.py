@@ -102,3 +102,46 @@ def test_a_narrow_spectrum_converges(n):
     v = 16_384 * (np.eye(64) + (g + g.T) / np.sqrt(2 * n))
     e, u, facts = leading(lambda x: v @ x, 64, 8)  # before: an error after 60 rounds
     assert facts["passes"] < 100 and np.abs(e - np.linalg.eigvalsh(v)[::-1][:8]).max() < 1e-12 * e[0] and np.abs(v @ u - u * e).max() < 1e-12 * e[0] and np.abs(u.T @ u - np.eye(8)).max() < 1e-12
+
+
+def test_deviations_beyond_a_long_have_a_column(spark):
+    from decimal import Decimal
+
+    for rows in ([(i, [float(i) * 1e11, 0.25]) for i in range(4)], [(i, [float(i * 300_000), 0.25]) for i in range(4)]):
+        ids, _, deviation, _, _ = dense(rows)
+        want = {i: (int(d) if d < 1 << 63 else None, Decimal(int(d))) for i, d in zip(ids, deviation)}
+        got = whiten(vectors(spark, rows), exact=True).collect()  # before: an error
+        assert {r["vec_id"]: (r["deviation"], r["deviation_exact"]) for r in got} == want and len(got) == 4
+    with pytest.raises(Exception, match="beyond 38 digits"):
+        whiten(spark.createDataFrame([(i, [i * 4e12] * 4) for i in range(2)], "vec_id long, embedding array<double>").crossJoin(spark.range(2000)), exact=True).collect()
+
+
+def test_deviations_of_many_vectors_are_exact():
+    from harrow.llm.whitening import deviations
+
+    rng = np.random.default_rng(6)
+    for n, size in ((10, 600), (3_000_000, 600), (15_000_000, 600), (15_000_000, 1 << 30), (1 << 33, 0)):
+        x, left = rng.integers(-size, size + 1, (50, 64)), [int(r) for r in rng.integers(0, n, 64)]
+        want = [sum((n * int(v) - r) ** 2 for v, r in zip(row, left)) for row in x]
+        assert list(map(int, deviations(x, n, left, exact=True).to_pylist())) == want
+        if max(want) < 1 << 63:
+            assert deviations(x, n, left).to_pylist() == want
+        else:
+            with pytest.raises(ValueError, match="beyond a long"):
+                deviations(x, n, left)
+
+
+def test_vectors_are_packed_as_narrow_as_they_are(spark):
+    from harrow.llm.whitening import packed, unpacked
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        for size in (5, 50_000, 1 << 40):
+            rows = [(i if i % 9 else None, [100_000 + (-1) ** i * size * i // 100 + d for d in range(3)]) for i in range(200)]
+            blocks = packed(spark.createDataFrame(rows, "vec_id long, x array<long>").repartition(3), 100_000)
+            batches = blocks.toArrow().to_batches()
+            got = [(i, [100_000 + int(v) for v in row]) for b in batches for part, x in unpacked(b, 3) for i, row in zip(part.column("ids").flatten().to_pylist(), x)]
+            assert sorted(got, key=str) == sorted(rows, key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [len(r["i2"]) for r in packed(spark.createDataFrame([(1, [100_007, 99_990])], "vec_id long, x array<long>"), 100_000).collect()] == [4]
