@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from functools import reduce
 
 import numpy as np
@@ -125,3 +126,20 @@ def test_pairs_of_a_busy_field_cost_packs(spark, tmp_path):
     order = lambda pairs: sorted(pairs, key=str)
     assert order(tuple(r) for r in got) == order(want) and len(want) > 15_000
     assert state < 100 < len(rows)  # before: a row for each detection and two for each reading
+
+
+def test_pairs_of_two_packs_do_not_wait_for_each_other(spark):
+    """The two packs are unfolded in different pieces of generated code, else all their pairs are held until the last is made."""
+    from pyspark.sql import functions as F
+
+    pack = lambda i: F.transform(F.sequence(F.lit(0), F.lit(299)), i)
+    met = spark.range(0, 8, 1, 4).select(F.lit("f").alias("field_id"), pack(lambda i: F.struct((i * 1000).alias("us"), (F.col("id") * 300 + i).alias("event_id"), F.lit("c").alias("class_id"))).alias("detections"), pack(lambda i: F.struct((i * 1000).alias("us"), i.cast("long").alias("reading_id"))).alias("readings"))
+    pairs = S.unpacked(met)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        steps = re.findall(r"(\*\(\d+\)|[ -]) Generate inline", S.unpacked(met)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(steps) == 2 and steps[0] != steps[1]  # before: one piece
+    assert pairs.rdd.getNumPartitions() == 4 and pairs.count() == 8 * 300 * 301 // 2
+    assert sorted(r[0] for r in pairs.where("reading_id = 298").select("event_id").collect()) == sorted(i * 300 + j for i in range(8) for j in (298, 299))
