@@ -143,3 +143,16 @@ def test_pairs_of_two_packs_do_not_wait_for_each_other(spark):
     assert len(steps) == 2 and steps[0] != steps[1]  # before: one piece
     assert pairs.rdd.getNumPartitions() == 4 and pairs.count() == 8 * 300 * 301 // 2
     assert sorted(r[0] for r in pairs.where("reading_id = 298").select("event_id").collect()) == sorted(i * 300 + j for i in range(8) for j in (298, 299))
+
+
+def test_packs_are_full_however_many_files_their_rows_come_from(spark, tmp_path):
+    schema, met = "event_id long, class_id string, field_id string, ts timestamp", []
+    for i in range(6):
+        spark.createDataFrame([(10 * i + j, "c", "f", NOW + dt.timedelta(minutes=10 * i + j)) for j in range(10)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    with rocks(spark):
+        q = S.agree_packed(read(), read().drop("class_id"), most=40).writeStream.foreachBatch(lambda df, i: met.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted({len(m.detections) for m in met}) == [20, 40] and len(met) <= 4  # before: packs of a file each
+    pairs = S.unpacked(spark.createDataFrame(met, "field_id string, detections array<struct<us: bigint, event_id: bigint, class_id: string>>, readings array<struct<us: bigint, reading_id: bigint>>"), at_once=7).collect()
+    assert sorted((p.event_id, p.reading_id) for p in pairs) == [(d, r) for d in range(60) for r in range(d + 1)]
